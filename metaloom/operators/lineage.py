@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from metaloom.operators.joins import HOT_ROWS, fan_out, hot_keys, salt_rows
-from metaloom.staging import new_stage, stage
+from metaloom.staging import new_stage, stage, stage_counted
 
 
 def _hops(edges: DataFrame, source: str, target: str, direction: str, attributes: Sequence[str]) -> DataFrame:
@@ -56,8 +56,8 @@ def traverse(
     spark = edges.sparkSession
     path = new_stage(spark, "traverse")
     hops = _hops(edges, source, target, direction, attributes)
-    hot = stage(hot_keys(hops, "node", hot_rows), f"{path}/hot")
-    salted = not hot.isEmpty()
+    hot, hot_count = stage_counted(hot_keys(hops, "node", hot_rows), f"{path}/hot")
+    salted = hot_count > 0
     keys = ["node", "_salt"] if salted else ["node"]
     if salted:
         hops = salt_rows(hops, "node", hot, spread_on="_next")
@@ -88,8 +88,8 @@ def traverse(
                 level = level.join(seen, ["seed", "node"], "left_anti")
         else:
             level = level.distinct()
-        level = stage(level, f"{levels}/depth={depth}")
-        if level.isEmpty():
+        level, rows = stage_counted(level, f"{levels}/depth={depth}")
+        if rows == 0:
             break
         frontier = level.select("seed", "node") if mode == "shortest" else level.select("seed", "node").distinct()
     if seeds is None:
@@ -239,14 +239,12 @@ def origins(
     for depth in range(1, max_depth + 1):
         step = walk.join(parents, "node", "left")
         ends = F.col("parent").isNull() | F.array_contains("trail", F.col("parent"))
-        step = stage(
-            step.select("seed", F.when(ends, F.col("node")).otherwise(F.col("parent")).alias("node"),
-                        F.when(ends, F.col("trail")).otherwise(F.concat("trail", F.array("parent"))).alias("trail"), ends.alias("done")),
-            f"{path}/step={depth}",
-        )
+        step = step.select("seed", F.when(ends, F.col("node")).otherwise(F.col("parent")).alias("node"),
+                        F.when(ends, F.col("trail")).otherwise(F.concat("trail", F.array("parent"))).alias("trail"), ends.alias("done"))
+        step, rows = stage_counted(step, f"{path}/step={depth}", F.count_if(~F.col("done")))
         finished.append(step.filter("done"))
         walk = step.filter("not done").drop("done")
-        if walk.isEmpty():
+        if rows == 0:
             break
     finished.append(walk.withColumn("done", F.lit(True)))
     result = finished[0]

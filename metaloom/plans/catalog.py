@@ -1,6 +1,9 @@
 """All registered queries; importing this module fills the registry."""
 
-from metaloom.plans import lineage_queries  # noqa: F401
+from metaloom.plans import (  # noqa: F401
+    lineage_queries,
+    pii_queries,
+)
 from metaloom.plans.registry import ORACLES, QUERIES, Catalog
 
 __all__ = ["QUERIES", "ORACLES", "Catalog"]

@@ -14,7 +14,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
 
@@ -50,6 +51,13 @@ def stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_counted(df: DataFrame, path: str, counted: Column | None = None) -> tuple[DataFrame, int]:
+    """``stage``, and a count (of all rows by default) taken while writing."""
+    seen = Observation()
+    observed = df.observe(seen, (F.count(F.lit(1)) if counted is None else counted).alias("n"))
+    return stage(observed, path), seen.get["n"]
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete every table this application staged; call once results are written."""
     root = staging_root(spark)
