@@ -80,7 +80,7 @@ def exposures(found: DataFrame, layer: str | None = None, severity: str | None =
 
 def exposure_breakdown(exposed: DataFrame) -> DataFrame:
     """Counts per severity, zeros included."""
-    levels = exposed.sparkSession.createDataFrame([(s,) for s in SEVERITIES], "severity string")
+    levels = exposed.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in SEVERITIES])).alias("severity"))
     counts = exposed.groupBy("severity").agg(F.count("*").alias("columns"), F.count_distinct("capsule_urn").alias("capsules"))
     return levels.join(counts, "severity", "left").na.fill(0, ["columns", "capsules"])
 

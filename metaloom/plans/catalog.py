@@ -1,6 +1,7 @@
 """All registered queries; importing this module fills the registry."""
 
 from metaloom.plans import (  # noqa: F401
+    conformance_queries,
     lineage_queries,
     pii_queries,
 )

@@ -69,6 +69,18 @@ VIEWS: dict[str, str] = {
           CASE WHEN variant > 3 THEN 'error' ELSE 'warning' END AS severity,
           CAST(80 + 3 * variant AS DOUBLE) AS last_score
         FROM v_columns WHERE variant < 6""",
+    "v_profile_runs": """
+        SELECT concat('urn:cat:part:', CAST(l_partkey AS STRING), '.', c.name, CAST(l_suppkey % 7 AS STRING)) AS column_urn,
+          concat('urn:cat:part:', CAST(l_partkey AS STRING)) AS capsule_urn, l_shipdate AS profiled_at,
+          100 - max(l_tax) * 100 AS completeness_score, 100 - max(l_discount) * 100 AS validity_score, 40 + max(l_quantity) AS uniqueness_score,
+          max(l_tax) * 100 AS null_percentage, 2 * max(l_quantity) AS unique_percentage
+        FROM lineitem JOIN (SELECT 0 AS k, 'email_' AS name UNION ALL SELECT 1, 'phone_hash_' UNION ALL SELECT 2, 'amount_'
+          UNION ALL SELECT 3, 'order_status_' UNION ALL SELECT 4, 'created_at_' UNION ALL SELECT 5, 'ssn_') c ON c.k = l_linenumber % 6
+        GROUP BY 1, 2, 3""",
+    "v_profiles": """
+        SELECT column_urn, capsule_urn, min(completeness_score) AS completeness_score, min(validity_score) AS validity_score,
+          max(uniqueness_score) AS uniqueness_score, max(null_percentage) AS null_percentage, max(unique_percentage) AS unique_percentage
+        FROM v_profile_runs GROUP BY column_urn, capsule_urn""",
     "v_policies": """
         SELECT concat('policy:', CAST(p_partkey AS STRING)) AS id, concat('urn:cat:part:', CAST(p_partkey AS STRING)) AS capsule_urn,
           CASE p_size % 5 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' WHEN 2 THEN 'confidential' WHEN 3 THEN 'restricted' ELSE 'secret' END AS sensitivity_level,
