@@ -2,8 +2,10 @@
 
 from metaloom.plans import (  # noqa: F401
     conformance_queries,
+    filter_queries,
     lineage_queries,
     pii_queries,
+    rollup_queries,
 )
 from metaloom.plans.registry import ORACLES, QUERIES, Catalog
 

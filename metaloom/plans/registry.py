@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,17 +19,32 @@ class Catalog:
     spark: SparkSession
     root: str
 
+    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """One analysed DataFrame per application, folder and name (plans only, no data)."""
+        key = (self.spark.sparkContext.applicationId, self.root, name)
+        if key not in _plans:
+            _plans[key] = build()
+        return _plans[key]
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self._once(name, lambda: self.spark.read.parquet(f"{self.root}/{name}.parquet"))
 
     def view(self, name: str) -> DataFrame:
         """A catalog view; Catalyst inlines it, so pruning and pushdown reach the scans."""
+        return self._once(name, lambda: self._define(name))
+
+    def _define(self, name: str) -> DataFrame:
         sql = catalog_views.with_clause(name)
-        tables = [t for t in catalog_views.BASE_TABLES if f" {t}" in sql.replace("\n", " ")]
-        bases = ",\n".join(f"{t} AS (SELECT * FROM parquet.`{self.root}/{t}.parquet`)" for t in tables)
-        return self.spark.sql(f"WITH {bases},\n{sql}\nSELECT * FROM {name}")
+        bases = []
+        for table in catalog_views.BASE_TABLES:
+            if re.search(rf"\b(FROM|JOIN)\s+{table}\b", sql):
+                relation = f"ml_{zlib.crc32(self.root.encode()):08x}_{table}"
+                self.table(table).createOrReplaceTempView(relation)
+                bases.append(f"{table} AS (SELECT * FROM {relation})")
+        return self.spark.sql(f"WITH {', '.join(bases)},\n{sql}\nSELECT * FROM {name}")
 
 
+_plans: dict[tuple[str, str, str], DataFrame] = {}
 Query = Callable[[Catalog], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
