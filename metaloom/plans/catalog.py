@@ -3,9 +3,12 @@
 from metaloom.plans import (  # noqa: F401
     conformance_queries,
     filter_queries,
+    impact_queries,
     lineage_queries,
     pii_queries,
+    quality_queries,
     rollup_queries,
+    similarity_queries,
 )
 from metaloom.plans.registry import ORACLES, QUERIES, Catalog
 

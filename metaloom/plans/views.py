@@ -250,6 +250,12 @@ VIEWS: dict[str, str] = {
           CASE l_linenumber % 4 WHEN 0 THEN 'produces' WHEN 1 THEN 'consumes' WHEN 2 THEN 'transforms' ELSE 'validates' END AS edge_type,
           max(l_discount) * 10 AS criticality_score, 100 - max(l_tax) * 100 AS success_rate
         FROM lineitem GROUP BY 1, 2, 3, 4""",
+    "v_order_task_edges": """
+        SELECT concat('urn:cat:task:', CAST(l_suppkey AS STRING), '.', CAST(l_linenumber AS STRING)) AS task_urn,
+          concat('urn:cat:pipeline:', CAST(l_suppkey AS STRING)) AS pipeline_urn, concat('order:', CAST(l_orderkey AS STRING)) AS capsule_urn,
+          CASE l_linenumber % 4 WHEN 0 THEN 'produces' WHEN 1 THEN 'consumes' WHEN 2 THEN 'transforms' ELSE 'validates' END AS edge_type,
+          max(l_discount) * 10 AS criticality_score, 100 - max(l_tax) * 100 AS success_rate
+        FROM lineitem GROUP BY 1, 2, 3, 4""",
     "v_task_order": """
         SELECT a.task_urn AS source_task_urn, b.task_urn AS target_task_urn, a.pipeline_urn AS pipeline_urn
         FROM v_tasks a JOIN v_tasks b ON a.pipeline_urn = b.pipeline_urn AND CAST(substr(b.name, 6, 3) AS INTEGER) = CAST(substr(a.name, 6, 3) AS INTEGER) + 1""",
