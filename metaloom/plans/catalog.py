@@ -2,6 +2,7 @@
 
 from metaloom.plans import (  # noqa: F401
     conformance_queries,
+    export_queries,
     filter_queries,
     impact_queries,
     lineage_queries,
@@ -9,6 +10,7 @@ from metaloom.plans import (  # noqa: F401
     quality_queries,
     rollup_queries,
     similarity_queries,
+    snapshot_queries,
 )
 from metaloom.plans.registry import ORACLES, QUERIES, Catalog
 
