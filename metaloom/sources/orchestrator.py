@@ -98,7 +98,11 @@ def annotation_edges(annotations: DataFrame, prefix: str = "urn:cat") -> DataFra
     p = annotations.select(F.explode("pipelines").alias("p")).filter(present(F.col("p.pipeline_id")))
     t = p.select("p.pipeline_id", F.coalesce("p.instance", F.lit("default")).alias("instance"), F.explode("p.tasks").alias("t")).filter(present(F.col("t.task_id")))
     urn = F.concat(F.lit(f"{prefix}:task:airflow:"), "instance", F.lit(":"), "pipeline_id", F.lit("."), F.col("t.task_id"))
-    lists = [F.transform(F.coalesce(F.col(f"t.{kind}"), F.array().cast("array<string>")), lambda i, k=kind: F.struct(F.lit(k).alias("edge_type"), i.alias("item"))) for kind in ANNOTATED_EDGES]
+
+    def listed(kind: str) -> Column:
+        return F.transform(F.coalesce(F.col(f"t.{kind}"), F.array().cast("array<string>")), lambda i: F.struct(F.lit(kind).alias("edge_type"), i.alias("item")))
+
+    lists = [listed(kind) for kind in ANNOTATED_EDGES]
     items = t.select(urn.alias("task_urn"), F.explode(F.concat(*lists)).alias("x")).select("task_urn", "x.edge_type", "x.item")
     detail = F.when(F.col("item").startswith("{"), F.coalesce(F.get_json_object("item", "$.operation"), F.get_json_object("item", "$.access_pattern")))
     return items.select("task_urn", _text_or_field(F.col("item"), "urn").alias("capsule_urn"), "edge_type", detail.alias("detail")).filter(present(F.col("capsule_urn")))
