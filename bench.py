@@ -19,7 +19,7 @@ from metaloom.plans.catalog import QUERIES, Catalog  # noqa: E402
 
 HEADLINE = [
     "g2_downstream", "g4_downstream_columns", "g15_pii_trace", "pii2_exposure_breakdown", "cf7_score", "agg13_capsule_catalog",
-    "flt4_search", "sim3_lineage_pairs", "imp4_imp5_overall_risk", "tmp2_quiet_windows", "slo_products", "pr1_counts", "pr2_quantiles",
+    "flt4_search", "sim4_metadata_score", "imp4_imp5_overall_risk", "tmp2_quiet_windows", "slo_products", "pr1_counts", "pr2_quantiles",
     "dq1_row_rules", "dq5_uniqueness", "msk5_apply_rules", "snk1_upsert", "ver1_schema_changes", "piit_documents", "sla1_breaches",
 ]
 
@@ -41,6 +41,7 @@ def main() -> None:
         start = time.time()
         QUERIES[name](catalog).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     spark.stop()
     print(json.dumps({"metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(root.rstrip("/"))}))
 
