@@ -55,7 +55,9 @@ def traverse(
         raise ValueError(f"unknown mode {mode}")
     spark = edges.sparkSession
     path = new_stage(spark, "traverse")
-    hops = _hops(edges, source, target, direction, attributes)
+    # the edges are read for the hot-key check and once per level: compute them once
+    base = _hops(edges, source, target, direction, attributes).persist(StorageLevel.MEMORY_AND_DISK)
+    hops = base
     hot, hot_count = stage_counted(hot_keys(hops, "node", hot_rows), f"{path}/hot")
     salted = hot_count > 0
     keys = ["node", "_salt"] if salted else ["node"]
@@ -94,6 +96,7 @@ def traverse(
         frontier = level.select("seed", "node") if mode == "shortest" else level.select("seed", "node").distinct()
     if seeds is None:
         hops.unpersist()
+    base.unpersist()
     reached = spark.read.schema(schema).parquet(levels)
     return reached.select("seed", "node", "depth") if mode == "shortest" else reached
 
@@ -137,10 +140,11 @@ def trace_columns(
     target: str = "target_column_urn",
 ) -> DataFrame:
     """Per seed and direction: how many nodes, walked edges, and the real greatest depth."""
+    edges = stage(edges.select(source, target).distinct(), new_stage(edges.sparkSession, "trace"))
     parts = []
     for direction in ("upstream", "downstream"):
         reached = traverse(edges, seeds, direction=direction, max_depth=max_depth, source=source, target=target)
-        used = walked_edges(edges.select(source, target).distinct(), reached, seeds, direction=direction, max_depth=max_depth, source=source, target=target)
+        used = walked_edges(edges, reached, seeds, direction=direction, max_depth=max_depth, source=source, target=target)
         nodes = reached.groupBy("seed").agg(F.count("*").alias("nodes"), F.max("depth").alias("max_depth"))
         walked = used.groupBy("seed").agg(F.count("*").alias("edges"))
         parts.append(nodes.join(walked, "seed", "left").withColumn("direction", F.lit(direction)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from metaloom.functions.classify import detect_pii, is_masked, pii_severity
 from metaloom.operators.lineage import origins, terminals, traverse
+from metaloom.staging import new_stage, stage
 
 #: layers where exposed PII matters (fixed values)
 CONSUMPTION_LAYERS = ["gold", "marts", "mart", "consumption", "reporting", "analytics"]
@@ -93,7 +94,9 @@ def trace(columns: DataFrame, edges: DataFrame, max_depth: int = 10,
     following the smallest upstream edge, the number of nodes downstream and of
     terminal nodes, and whether every terminal is masked (false without any).
     """
-    seeds = columns.filter(F.col("pii_type").isNotNull()).select(F.col("urn").alias("seed"))
+    path = new_stage(columns.sparkSession, "pii_trace")
+    edges = stage(edges.select(source, target).distinct(), f"{path}/edges")
+    seeds = stage(columns.filter(F.col("pii_type").isNotNull()).select(F.col("urn").alias("seed")), f"{path}/seeds")
     started = origins(edges, seeds, max_depth, source, target)
     reached = traverse(edges, seeds, max_depth=max_depth, source=source, target=target)
     downstream = reached.groupBy("seed").agg(F.count("*").alias("downstream_nodes"))
