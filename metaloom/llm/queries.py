@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metaloom.llm import piece_sampling, sharding, token_counts, toxicity, url_filter
+from metaloom.llm import jaccard_join, piece_sampling, sharding, token_counts, toxicity, url_filter
 
 #: (host, path, verdict) as the query's contract fixes them
 URL_RULES = [
@@ -22,6 +22,10 @@ def op1_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_sampling": op1_piece_sampling,
+    "op2_jaccard_join": op2_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
