@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metaloom.llm import jaccard_join, piece_sampling, sharding, token_counts, toxicity, url_filter
+from metaloom.llm import decontamination, jaccard_join, pii_tagger, piece_sampling, sharding, token_counts, toxicity, url_filter
 
 #: (host, path, verdict) as the query's contract fixes them
 URL_RULES = [
@@ -26,10 +26,18 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_tagger.find_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_pages(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
@@ -45,7 +53,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_sampling": op1_piece_sampling,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
+    "op5_pii_tagger": op5_pii_tagger,
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,

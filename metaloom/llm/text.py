@@ -19,7 +19,7 @@ _space[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _lower = np.arange(256, dtype=np.uint8)
 _lower[ord("A") : ord("Z") + 1] += 32
 _rng = np.random.default_rng(20240229)
-_byte_codes = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+byte_codes = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ratio = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,6 +42,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
+def lowered(column: pa.Array) -> pa.Array:
+    """Texts in lower case, in all scripts; nulls as empty texts."""
+    return pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
+
+
 def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges (i, j) of at most ``most`` bytes each, one row at least."""
     i, rows = 0, len(offsets) - 1
@@ -62,16 +67,14 @@ def powers(n: int) -> np.ndarray:
 _powers = np.ones(1, np.uint64)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of all rows: (row of the word, start byte relative to the first row, hash).
-
-    A-Z are lower-cased for the hash unless ``lower`` is false.
-    """
+def runs(data: np.ndarray, offsets: np.ndarray, inside_table: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Longest runs of bytes that the table marks, in all rows: (row, start byte relative to the first row, hash)."""
     base = int(offsets[0])
     part = data[base : int(offsets[-1])]
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(part) == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    inside = ~_space[part]
+        return none
+    inside = inside_table[part]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     firsts = offsets[:-1] - base
@@ -79,7 +82,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     begins[firsts] = inside[firsts]
     starts = np.flatnonzero(begins)
     if len(starts) == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none
     kept = np.flatnonzero(inside)
     first = np.searchsorted(kept, starts)
     lengths = np.diff(np.append(first, len(kept)))
@@ -87,9 +90,13 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     letters = part[kept]
     if lower:
         letters = _lower[letters]
-    hashed = mix(np.add.reduceat(_byte_codes[letters] * powers(int(lengths.max()) + 1)[within], first))
-    rows = np.searchsorted(offsets - base, starts, "right") - 1
-    return rows, starts, hashed
+    hashed = mix(np.add.reduceat(byte_codes[letters] * powers(int(lengths.max()) + 1)[within], first))
+    return np.searchsorted(offsets - base, starts, "right") - 1, starts, hashed
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of all rows, see ``runs``; A-Z are lower-cased for the hash unless ``lower`` is false."""
+    return runs(data, offsets, ~_space, lower)
 
 
 _weights = _rng.integers(0, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -20,13 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metaloom import staging
-from metaloom.llm.text import buffers, mix, powers, slices
-from metaloom.llm.text import _byte_codes as codes
+from metaloom.llm.text import byte_codes as codes
+from metaloom.llm.text import buffers, lowered, mix, powers, slices
 
 #: labelled rows of each class to fit on
 FIT_ROWS = 3000
@@ -91,8 +90,7 @@ def features(column: pa.Array, terms: np.ndarray) -> Iterator[tuple[int, int, np
     """(i, j, counts, patterns) of rows i to j: counts of each term, and
     words, share of upper-case letters, of non-letters, of repeated neighbouring words, number of hits, of different terms."""
     raw, at = buffers(column)
-    lowered = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
-    data, offsets = buffers(lowered)
+    data, offsets = buffers(lowered(column))
     maybe = np.zeros(1 << 16, bool)
     maybe[(terms >> np.uint64(48)).astype(np.int64)] = True
     for i, j in slices(offsets):
@@ -218,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, terms: int = T
     def term_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             toxic = frame.column(1).to_numpy(zero_copy_only=False)
-            data, offsets = buffers(pc.utf8_lower(pc.fill_null(frame.column(0).cast(pa.large_string()), "")))
+            data, offsets = buffers(lowered(frame.column(0)))
             for i, j in slices(offsets):
                 r, h = terms_of(data, offsets[i : j + 1])
                 pairs = np.unique(np.stack([r.astype(np.uint64), h], 1), axis=0) if len(r) else np.zeros((0, 2), np.uint64)
