@@ -31,7 +31,7 @@ from metaloom import staging
 
 KINDS = ("email", "ip", "card", "phone")
 #: rows with base spans to train on, and rows without
-FIT_ROWS = 600
+FIT_ROWS = 400
 WINDOW = 96
 HIDDEN = 16
 TAGS = 1 + 2 * len(KINDS)
@@ -291,7 +291,7 @@ def examples(texts: list[str], seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     return (np.stack(xs), np.stack(ys)) if xs else (np.zeros((0, WINDOW), np.uint8), np.zeros((0, WINDOW), np.int64))
 
 
-def fit(docs: DataFrame, rows: int = FIT_ROWS, epochs: int = 10) -> Tagger:
+def fit(docs: DataFrame, rows: int = FIT_ROWS, epochs: int = 8) -> Tagger:
     """Trained on the ``rows`` rows with digits or ``@`` of the smallest hashes (of their ids); none at all give an untrained tagger."""
     spark = docs.sparkSession
     order = F.xxhash64(F.lit("pii"), F.col("doc_id"))

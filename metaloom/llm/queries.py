@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metaloom.llm import decontamination, jaccard_join, pii_tagger, piece_sampling, sharding, token_counts, toxicity, url_filter
+from metaloom.llm import decontamination, ego_join, jaccard_join, pii_tagger, piece_sampling, sharding, token_counts, toxicity, url_filter
 
 #: (host, path, verdict) as the query's contract fixes them
 URL_RULES = [
@@ -50,6 +50,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_sampling": op1_piece_sampling,
     "op2_jaccard_join": op2_jaccard_join,
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
+    "op10_ego_join": op10_ego_join,
 }
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
