@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metaloom.llm import decontamination, ego_join, jaccard_join, pii_tagger, piece_sampling, sharding, token_counts, toxicity, url_filter
+from metaloom.llm import decontamination, ego_join, jaccard_join, language_id, pii_tagger, piece_sampling, sharding, token_counts, toxicity, url_filter
 
 #: (host, path, verdict) as the query's contract fixes them
 URL_RULES = [
@@ -38,6 +38,10 @@ def op5_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_tagger.find_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_pages(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_pii_tagger": op5_pii_tagger,
+    "op6_language_id": op6_language_id,
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
