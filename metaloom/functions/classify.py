@@ -429,6 +429,18 @@ def dependency_type(edge_type: Column) -> Column:
     return lookup(DEPENDENCY_TYPES, edge_type, "read")
 
 
+def _outside_brackets(text: Column) -> Column:
+    """The characters at bracket depth 0, at any nesting; a closing bracket without an opening one stays."""
+    def step(state: Column, ch: Column) -> Column:
+        opens, closes = ch == "(", (ch == ")") & (state["depth"] > 0)
+        depth = state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        kept = F.when(opens | closes | (state["depth"] > 0), state["kept"]).otherwise(F.concat(state["kept"], ch))
+        return F.struct(depth.alias("depth"), kept.alias("kept"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
+    return F.when(text.contains("("), F.aggregate(F.split(text, ""), start, step, lambda s: s["kept"])).otherwise(text)
+
+
 def transformation_of(expression: Column, statement: Column | None = None) -> Column:
     """struct(transformation_type, transformation_logic, confidence) of a SQL expression text.
 
@@ -437,9 +449,7 @@ def transformation_of(expression: Column, statement: Column | None = None) -> Co
     """
     e = F.trim(expression)
     low = F.lower(e)
-    flat = F.regexp_replace(low, "'[^']*'", "s")
-    for _ in range(4):
-        flat = F.regexp_replace(flat, r"\([^()]*\)", "")
+    flat = _outside_brackets(F.regexp_replace(low, "'[^']*'", "s"))
     call = lambda names: low.rlike(r"^(?:" + "|".join(names) + r")\s*\(")
     kind = first_match(
         [
@@ -457,10 +467,10 @@ def transformation_of(expression: Column, statement: Column | None = None) -> Co
     confidence = lookup(EXPRESSION_CONFIDENCE, kind)
     if statement is not None:
         confidence = confidence * lookup(STATEMENT_FACTOR, F.lower(statement), 1.0)
-    return F.struct(
-        kind.alias("transformation_type"),
-        F.when(kind != "identity", e).alias("transformation_logic"),
-        confidence.alias("confidence"),
+    return F.named_struct(
+        F.lit("transformation_type"), kind,
+        F.lit("transformation_logic"), F.when(kind != "identity", e),
+        F.lit("confidence"), confidence,
     )
 
 

@@ -78,32 +78,59 @@ def period_of(hour: Column) -> Column:
     return first_match([((hour >= 6) & (hour < 12), "morning"), ((hour >= 12) & (hour < 18), "afternoon"), ((hour >= 18) & (hour < 22), "evening")], "night")
 
 
-def _day_fits(cron: Column, day: Column) -> Column:
-    """Day-of-month, month and weekday fields; two restricted day fields mean either."""
-    def fits(field: Column, value: Column) -> Column:
-        step = F.try_element_at(F.split(field, "/"), F.lit(2)).try_cast("int")
-        listed = F.exists(F.split(field, ","), lambda x: x.try_cast("int") == value)
-        return (field == "*") | F.coalesce(listed, F.lit(False)) | F.coalesce(field.startswith("*/") & (F.pmod(value, step) == 0), F.lit(False))
+MONTH_NAMES = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
+DAY_NAMES = ["SUN", "MON", "TUE", "WED", "THU", "FRI", "SAT"]
+#: a date of the calendar returns within so many months at most (29 February around a year without one)
+LONGEST_GAP_MONTHS = 8 * 12 + 1
 
-    dom, month, dow = _field(cron, 2), _field(cron, 3), _field(cron, 4)
-    weekday = F.dayofweek(day) - 1
-    by_day, by_week = fits(dom, F.dayofmonth(day)), fits(dow, weekday) | ((weekday == 0) & fits(dow, F.lit(7)))
-    either = (dom != "*") & (dow != "*")
-    return fits(month, F.month(day)) & F.when(either, by_day | by_week).otherwise(by_day & by_week)
+
+def _fitting(field: Column, low: int, high: int, names: list[str] | None = None, first_name: int = 0) -> Column:
+    """Sorted values of a cron field: ``*``, ``a``, ``a-b``, each with ``/step``, names, lists of these; wrong parts fit nothing."""
+    text = F.upper(field)
+    for i, name in enumerate(names or []):
+        text = F.regexp_replace(text, name, str(i + first_name))
+
+    def values(part: Column) -> Column:
+        split, base = F.split(part, "/"), F.substring_index(part, "/", 1)
+        ends = F.split(base, "-")
+        every, stepped = base.isin("*", "?"), F.size(split) == 2
+        step = F.when(stepped, F.try_element_at(split, F.lit(2)).try_cast("int")).otherwise(1)
+        first = F.when(every, low).otherwise(F.get(ends, F.lit(0)).try_cast("int"))
+        last = F.when(every | (stepped & (F.size(ends) == 1)), high).when(F.size(ends) == 2, F.get(ends, F.lit(1)).try_cast("int")).otherwise(first)
+        good = (F.size(split) <= 2) & (F.size(ends) <= 2) & (step > 0) & (first >= low) & (first <= last) & (last <= high)
+        return F.when(good, F.sequence(first, last, step)).otherwise(F.array().cast("array<int>"))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(text, ","), values))))
 
 
 def next_run(cron: Column, now: str) -> Column:
-    """First run after ``now`` within the coming 366 days; null when there is none.
+    """First run after ``now``; null when no date ever fits.
 
-    The first fitting day is found before hours and minutes are combined, so
-    no row is multiplied.
+    Months that fit are taken first, then their days, then the minutes of the
+    day, so no row is multiplied.  Two restricted day fields mean either.
     """
     at = F.lit(now).cast("timestamp_ntz")
     today, minute_now = F.to_date(at), F.hour(at) * 60 + F.minute(at)
-    times = F.array_sort(F.flatten(F.transform(hours_of(cron), lambda h: F.transform(minutes_of(cron), lambda m: h * 60 + m))))
+    minutes, hours = _fitting(_field(cron, 0), 0, 59), _fitting(_field(cron, 1), 0, 23)
+    days, months = _fitting(_field(cron, 2), 1, 31), _fitting(_field(cron, 3), 1, 12, MONTH_NAMES, 1)
+    weekdays = F.transform(_fitting(_field(cron, 4), 0, 7, DAY_NAMES), lambda d: F.pmod(d, F.lit(7)))
+    every_day, every_weekday = _field(cron, 2).isin("*", "?"), _field(cron, 4).isin("*", "?")
+
+    def fits(day: Column) -> Column:
+        by_day, by_week = F.array_contains(days, F.dayofmonth(day)), F.array_contains(weekdays, F.dayofweek(day) - 1)
+        return F.when(~every_day & ~every_weekday, by_day | by_week).otherwise(by_day & by_week)
+
+    def days_of(start: Column) -> Column:
+        month = F.sequence(F.greatest(start, today), F.last_day(start))
+        return F.filter(month, fits)
+
+    starts = F.transform(F.sequence(F.lit(0), F.lit(LONGEST_GAP_MONTHS)), lambda i: F.add_months(F.trunc(today, "month"), i))
+    fitting = F.filter(starts, lambda d: F.array_contains(months, F.month(d)))
+    # at most one list of days is kept: that of the first month with a fitting day after today
+    later = F.aggregate(fitting, F.lit(None).cast("date"), lambda found, m: F.coalesce(found, F.get(F.filter(days_of(m), lambda d: d > today), F.lit(0))))
+    times = F.flatten(F.transform(hours, lambda h: F.transform(minutes, lambda m: h * 60 + m)))
     left_today = F.get(F.filter(times, lambda t: t > minute_now), F.lit(0))
-    later = F.filter(F.transform(F.sequence(F.lit(1), F.lit(366)), lambda i: F.date_add(today, i)), lambda d: _day_fits(cron, d))
-    runs_today = _day_fits(cron, today) & left_today.isNotNull()
-    day = F.when(runs_today, today).otherwise(F.get(later, F.lit(0)))
+    runs_today = F.array_contains(months, F.month(today)) & fits(today) & left_today.isNotNull()
+    day = F.when(runs_today, today).otherwise(later)
     minute = F.when(runs_today, left_today).otherwise(F.get(times, F.lit(0)))
     return F.when(F.size(times) > 0, day.cast("timestamp_ntz") + F.make_dt_interval(mins=minute))

@@ -260,8 +260,9 @@ _SIMULATED = f"""{_PRIORS}, {_AFFECTED}, {_OVERALL}, sim AS (SELECT o.*, p.* FRO
 def simulated(c: Catalog):
     found = affected(c)
     overall = impact.overall_risk(found, hit_tasks(c, found))
-    each = priors(c).agg(F.collect_list(F.struct("change_type", "matches", "success_rate")).alias("p"))  # at most a handful of change types
-    return overall.withColumn("_k", F.lit(1)).join(each.withColumn("_k", F.lit(1)), "_k").withColumn("p", F.explode("p")).select(*overall.columns, "p.*")
+    asked = [r["change_type"] for r in priors(c).select("change_type").distinct().collect()]  # the change types there are, a handful
+    rows = overall.withColumn("change_type", F.explode(F.array(*(F.lit(t) for t in sorted(asked)))))
+    return rows.join(priors(c).select("change_type", "matches", "success_rate"), "change_type")
 
 
 @query("imp9_confidence", f"""

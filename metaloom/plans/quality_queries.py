@@ -314,11 +314,10 @@ def msk5_apply_rules(c: Catalog):
 
 
 @query("msk5_mask_text", """
-    SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g')) AS masked_digest
+    SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '\\p{Lu}', 'X', 'g'), '\\p{Ll}', 'x', 'g'), '\\p{Nd}', 'n', 'g')) AS masked_digest
     FROM documents""")
 def msk5_mask_text(c: Catalog):
-    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "")
-    return c.table("documents").select("doc_id", F.sha2(masking.mask_characters(plain), 256).alias("masked_digest"))
+    return c.table("documents").select("doc_id", F.sha2(masking.mask_characters(F.col("text")), 256).alias("masked_digest"))
 
 
 # ------------------------------------------------- service levels, history

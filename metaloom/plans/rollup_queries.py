@@ -264,9 +264,9 @@ def tk1_page(c: Catalog):
 
 
 @query("tk3_urgent_alerts", """
-    SELECT id, severity, CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END AS rank FROM v_alerts WHERE NOT resolved ORDER BY rank, created_at DESC, id LIMIT 100""")
+    SELECT id, severity, CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END AS rank FROM v_alerts WHERE NOT resolved ORDER BY rank, created_at DESC, id""")
 def tk3_urgent_alerts(c: Catalog):
-    return rollups.alerts_by_urgency(c.view("v_alerts")).limit(100).select("id", "severity", "rank")
+    return rollups.alerts_by_urgency(c.view("v_alerts")).select("id", "severity", "rank")
 
 
 @query("tk6_catalog_by_name", "SELECT name, urn, layer FROM v_capsules ORDER BY name, urn")

@@ -12,17 +12,26 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 CREATED, UPDATED, UNCHANGED, MISSING, DELETED = "created", "updated", "unchanged", "missing", "deleted"
 
 
+def comparable(df: DataFrame, name: str) -> Column:
+    """Column ``name`` in a form that can be compared and ordered: maps become sorted lists of their entries."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, MapType) and "map<" not in kind.valueType.simpleString():
+        return F.array_sort(F.map_entries(name))
+    return F.to_json(F.struct(F.col(name).alias("v"))) if "map<" in kind.simpleString() else F.col(name)
+
+
 def one_per_key(df: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
     """One incoming row per key: the last by ``order``, else the greatest row; combined map-side."""
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.distinct()
     row = F.struct(*rest)
-    chosen = F.max(row) if order is None else F.max_by(row, order)
+    chosen = F.max_by(row, F.struct(*(comparable(df, c).alias(c) for c in rest)) if order is None else order)
     return df.groupBy(*keys).agg(chosen.alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
@@ -39,7 +48,7 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], keep: Se
     condition = reduce(lambda x, y: x & y, [F.col(f"_o_{k}").eqNullSafe(F.col(f"_n_{k}")) for k in keys])
     both = a.join(b, condition, "full_outer")
     compared = [v for v in values if v not in keep]
-    same = reduce(lambda x, y: x & y, [F.col(f"_o_{v}").eqNullSafe(F.col(f"_n_{v}")) for v in compared], F.lit(True))
+    same = reduce(lambda x, y: x & y, [comparable(both, f"_o_{v}").eqNullSafe(comparable(both, f"_n_{v}")) for v in compared], F.lit(True))
     change = F.when(F.col("_old").isNull(), CREATED).when(F.col("_new").isNull(), MISSING).when(same, UNCHANGED).otherwise(UPDATED)
     key_columns = [F.when(F.col("_new"), F.col(f"_n_{k}")).otherwise(F.col(f"_o_{k}")).alias(k) for k in keys]
     merged = [

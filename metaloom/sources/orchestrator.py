@@ -25,9 +25,24 @@ TASK_ID_PREFIXES = ["dbt_run_", "dbt_test_", "dbt_"]
 SQL_OPERATORS = ["sql", "postgres", "mysql", "snowflake", "bigquery", "redshift"]
 
 
-def read_dags(spark: SparkSession, path: str) -> DataFrame:
-    """One row per workflow export (JSON lines, or one object per file)."""
-    return spark.read.schema(DAG).option("multiLine", True).json(path)
+def _read_json(spark: SparkSession, path: str, schema: str, layout: str) -> DataFrame:
+    """``layout``: ``objects`` (one object per file) or ``lines`` (one per line).
+
+    A file of several unindented objects read as ``objects`` would lose all but the first, so it is an error.
+    """
+    if layout not in ("objects", "lines"):
+        raise ValueError(f"layout {layout} is not one of objects, lines")
+    if layout == "objects":
+        roots = spark.read.text(path).filter(F.col("value").rlike(r"^\{.*\}\s*$")).groupBy(F.input_file_name().alias("file")).count()
+        several = roots.filter("count > 1").first()
+        if several:
+            raise ValueError(f"{several['file']} holds {several['count']} objects; read it with layout lines")
+    return spark.read.schema(schema).option("multiLine", layout == "objects").json(path)
+
+
+def read_dags(spark: SparkSession, path: str, layout: str = "objects") -> DataFrame:
+    """One row per workflow export; see ``_read_json`` for the layout."""
+    return _read_json(spark, path, DAG, layout)
 
 
 def _text_or_field(c: Column, field: str) -> Column:
@@ -89,8 +104,8 @@ def task_edges(dags: DataFrame, instance: str = "default", prefix: str = "urn:ca
     return contains.unionByName(down.select("source_urn", _task_urn(prefix, instance, F.col("dag_id"), F.col("d")).alias("target_urn"), F.lit("depends_on").alias("edge_type")))
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ANNOTATIONS).option("multiLine", True).json(path)
+def read_annotations(spark: SparkSession, path: str, layout: str = "objects") -> DataFrame:
+    return _read_json(spark, path, ANNOTATIONS, layout)
 
 
 def annotation_edges(annotations: DataFrame, prefix: str = "urn:cat") -> DataFrame:
@@ -160,9 +175,10 @@ def column_mappings(mapped: DataFrame, capsules: DataFrame, columns: DataFrame)
 
     mapped (task_urn, target_column, expression, source_columns, statement):
     qualified names, the SELECT, INSERT or UPDATE expression of the target, and
-    its sources.  Names that do not resolve give no edge.
+    its sources.  Names that do not resolve give no edge.  Of a task with
+    several kinds of statements only the best counts.
     """
-    typed = mapped.select("task_urn", "target_column", F.explode("source_columns").alias("source_column"), transformation_of(F.col("expression"), F.col("statement")).alias("m"))
+    typed = best_statement(mapped).select("task_urn", "target_column", F.explode("source_columns").alias("source_column"), transformation_of(F.col("expression"), F.col("statement")).alias("m"))
     names = typed.select(F.col("source_column").alias("qualified_name")).union(typed.select("target_column")).distinct()
     known = resolve_columns(names, capsules, columns)
     source = known.select(F.col("qualified_name").alias("source_column"), F.col("column_urn").alias("source_column_urn"))
@@ -175,7 +191,9 @@ def column_mappings(mapped: DataFrame, capsules: DataFrame, columns: DataFrame)
 def best_statement(mapped: DataFrame) -> DataFrame:
     """Per task, SELECT mappings, else INSERT, else UPDATE."""
     rank = F.when(F.col("statement") == "select", 1).when(F.col("statement") == "insert", 2).otherwise(3)
-    return mapped.withColumn("_r", rank).withColumn("_b", F.min("_r").over(W.partitionBy("task_urn"))).filter("_r = _b").drop("_r", "_b")
+    ranked = mapped.withColumn("_r", rank)
+    best = ranked.groupBy("task_urn").agg(F.min("_r").alias("_r"))
+    return ranked.join(best, ["task_urn", "_r"], "left_semi").select(*mapped.columns)
 
 
 def config_problems(config: Mapping[str, object], required: Sequence[str]) -> list[str]:

@@ -50,9 +50,31 @@ def _orchestrator(spark: SparkSession, config: Mapping[str, object]) -> Tables:
     from metaloom.sources import orchestrator as o
 
     instance = str(config.get("instance", "default"))
-    dags = o.read_dags(spark, str(config["path"]))
+    dags = o.read_dags(spark, str(config["path"]), str(config.get("layout", "objects")))
     dags = dags.filter(o.included(F.col("dag_id"), F.col("is_paused"), F.col("is_active"), **dict(config.get("filters", {}))))
-    return {"workflows": o.workflows(dags, instance), "tasks": o.tasks(dags, instance), "task_edges": o.task_edges(dags, instance)}
+    tasks = o.tasks(dags, instance)
+    out = {"workflows": o.workflows(dags, instance), "tasks": tasks, "task_edges": o.task_edges(dags, instance)}
+    # data edges of tasks, where the configuration names what they refer to: annotation, else model, else SQL text
+    none = spark.createDataFrame([], "task_urn string, capsule_urn string, edge_type string")
+    annotated = from_models = from_sql = none
+    if config.get("annotations_path"):
+        annotated = o.annotation_edges(o.read_annotations(spark, str(config["annotations_path"]), str(config.get("annotations_layout", "objects"))))
+        out["malformed_urns"] = o.malformed_urns(annotated)
+    if config.get("manifest_path"):
+        from metaloom.sources import manifest as m
+
+        nodes = m.read_nodes(spark, config["manifest_path"], config.get("project_name"))
+        from_models = o.model_edges(tasks, nodes, m.capsules(nodes).select("unique_id", "urn"))
+    if config.get("tables_path"):
+        from metaloom.sources import warehouse as w
+
+        known = w.capsules(w.tables(spark.read.parquet(str(config["tables_path"]))))
+        from_sql = w.task_sql_edges(o.sql_tasks(tasks), known, str(config.get("database", "")), str(config.get("schema", "public")))
+        if config.get("annotations_path"):
+            out["unknown_references"] = o.unknown_references(annotated, known)
+    if any(config.get(k) for k in ("annotations_path", "manifest_path", "tables_path")):
+        out["data_edges"] = o.first_source_wins(annotated, from_models, from_sql)
+    return out
 
 
 def _warehouse(spark: SparkSession, config: Mapping[str, object]) -> Tables:
@@ -66,6 +88,8 @@ def _warehouse(spark: SparkSession, config: Mapping[str, object]) -> Tables:
     out = {"capsules": capsules, "columns": columns}
     if config.get("access_log_path"):
         out["edges"] = w.access_lineage(spark.read.parquet(str(config["access_log_path"])), capsules, str(config["now"]), int(config.get("lookback_days", 7)))
+    if config.get("ddl_path"):
+        out["view_edges"] = w.view_lineage(spark.read.parquet(str(config["ddl_path"])), capsules)
     return out
 
 
