@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from metaloom.operators.rollups import top_k_per_key
 
+#: parts of a rank's bracket that are counted before values are put in order
+CELLS = 4096
+
 
 def _stacked(df: DataFrame, per_column: Mapping[str, Sequence[Column]]) -> DataFrame:
     """One aggregate over ``df``, one output row per column."""
@@ -104,8 +107,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
             low, high = sketch[f"q{i}"][2 * j], sketch[f"q{i}"][2 * j + 1]
             position = p * (n - 1)
             wanted.append((c, float(p), int(position), position - int(position)))
-            below = F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("probability"), F.lit(None).cast("double").alias("value"))
-            inside = F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("probability"), value.alias("value"))
+            below = F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("probability"), F.lit(-1).cast("long").alias("cell"), F.lit(None).cast("double").alias("value"))
+            width = (high - low) / CELLS if n > 2 * accuracy and high > low else None
+            cell = F.floor((value - F.lit(float(low))) / F.lit(width)) if width else F.lit(0)
+            inside = F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("probability"), cell.cast("long").alias("cell"), value.alias("value"))
             if n <= 2 * accuracy:  # too few rows for the sketch's error to leave a margin: keep all
                 cells.append(F.when(value.isNotNull(), inside))
             else:
@@ -114,9 +119,13 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     ranks = spark.range(1).select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(p).alias("probability"), F.lit(k).cast("long").alias("k"), F.lit(f).alias("fraction")) for c, p, k, f in wanted
     ])).alias("w")).select("w.*")
-    counts = df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*").groupBy("column", "probability", "value").agg(F.count("*").alias("n"))
-    running = W.partitionBy("column", "probability").orderBy(F.col("value").asc_nulls_first())
-    ordered = counts.withColumn("upto", F.sum("n").over(running)).join(F.broadcast(ranks), ["column", "probability"])
+    counts = df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*").groupBy("column", "probability", "cell", "value").agg(F.count("*").alias("n"))
+    # counts of the bracket's cells tell which cells hold the ranks; only their values are put in order
+    keys = ["column", "probability", "cell"]
+    sums = counts.groupBy(*keys).agg(F.sum("n").alias("m")).withColumn("end", F.sum("m").over(W.partitionBy("column", "probability").orderBy("cell")))
+    held = sums.join(F.broadcast(ranks), ["column", "probability"]).where((F.col("end") > F.col("k")) & (F.col("end") - F.col("m") <= F.col("k") + 1))
+    running = W.partitionBy(*keys).orderBy(F.col("value").asc_nulls_first())
+    ordered = counts.join(held, keys).withColumn("upto", F.col("end") - F.col("m") + F.sum("n").over(running))
     at = lambda k: F.min(F.when(F.col("value").isNotNull() & (F.col("upto") > k), F.col("value")))
     found = ordered.groupBy("column", "probability").agg(
         at(F.col("k")).alias("low"), at(F.col("k") + 1).alias("high"), F.first("fraction").alias("fraction")

@@ -237,10 +237,13 @@ def j12_violations_with_rules(c: Catalog):
     return rollups.with_rules(c.view("v_violations"), c.view("v_rules")).select("id", "rule_id", "severity", "status", "category", "rule_set")
 
 
-@query("j13_workflow_sources", "SELECT source_system, pipeline_type, count(*) AS n FROM v_workflows GROUP BY 1, 2")
+@query("j13_workflow_sources", """
+    SELECT source_system, pipeline_type, nations, count(*) AS n FROM v_workflows JOIN (SELECT concat('system_', CAST(n_nationkey % 3 AS STRING)) AS source_system, count(*) AS nations FROM nation GROUP BY 1) USING (source_system) GROUP BY 1, 2, 3""")
 def j13_workflow_sources(c: Catalog):
-    systems = c.view("v_workflows").select("source_system").distinct()
-    return c.view("v_workflows").join(systems, "source_system").groupBy("source_system", "pipeline_type").agg(F.count("*").alias("n"))
+    name = F.concat(F.lit("system_"), (F.col("n_nationkey") % 3).cast("string"))
+    systems = c.table("nation").groupBy(name.alias("source_system")).agg(F.count("*").alias("nations"))
+    counted = c.view("v_workflows").groupBy("source_system", "pipeline_type").agg(F.count("*").alias("n"))
+    return counted.join(systems, "source_system").select("source_system", "pipeline_type", "nations", "n")
 
 
 # ---------------------------------------------------- windows, order, sets
