@@ -203,10 +203,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, terms: int = T
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     size = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(size.values())
-    if len(size) < 2:
+
+    def constant() -> Model:
         base = (size.get(1, 0) + 0.5) / (total + 1)
         width = design(np.zeros((1, 0)), np.zeros((1, PATTERNS))).shape[1]
         return Model(np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(width), np.zeros(width), np.ones(width), float(np.log(base / (1 - base))))
+
+    if len(size) < 2:
+        return constant()
     order = F.xxhash64(F.lit("fit"), F.col("doc_id"))
     some = known.where("toxic = 1").orderBy(order, "doc_id").limit(rows).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(rows))
     # at most 2 * rows ids, whatever the size of the tables
@@ -243,7 +247,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, terms: int = T
                 yield pa.RecordBatch.from_arrays([frame.column(1).slice(i, j - i), frame.column(2).slice(i, j - i), pa.array([x.tobytes() for x in flat], pa.binary())], ["toxic", "doc_id", "x"])
 
     got = sample.select("text", "toxic", "doc_id").mapInArrow(feature_rows, f"toxic int, doc_id {dict(sample.dtypes)['doc_id']}, x binary").toPandas().sort_values("doc_id")
-    flat = np.stack([np.frombuffer(x, np.float32) for x in got["x"]]) if len(got) else np.zeros((0, len(lexicon) + PATTERNS))
+    if len(got) == 0:  # labels of documents that aren't there
+        return constant()
+    flat = np.stack([np.frombuffer(x, np.float32) for x in got["x"]])
     n, p, given = flat[:, : len(lexicon)], flat[:, len(lexicon) :], got["toxic"].to_numpy()
     weight = np.where(given == 1, size[1] / n_bad, size[0] / n_good)
     posterior = label_model(votes(n, p, strong), given, weight)
