@@ -164,6 +164,21 @@ WAREHOUSE_TAG_TYPES: dict[str, tuple[str, str | None, bool]] = {
     "FOREIGN_KEY": ("foreign_key", None, False),
 }
 
+KEY_ENDINGS = ["_id", "_key"]
+PRIMARY_KEY_NAMES = ["id", "pk", "primary_key"]
+SURROGATE_PARTS = ["_sk", "surrogate"]
+BUSINESS_PARTS = ["natural", "business", "_bk"]
+
+FLOAT_TYPES = ["FLOAT", "DOUBLE", "REAL"]
+TEXT_TYPES = ["TEXT", "STRING"]
+KEPT_TYPES = ["DATE", "TIME", "ARRAY", "BOOLEAN"]
+BINARY_TYPES = ["BINARY", "VARBINARY"]
+
+CAST_CALLS = ["cast", "try_cast"]
+AGGREGATE_CALLS = ["sum", "avg", "count", "min", "max"]
+STRING_CALLS = ["concat", "substring", "substr", "upper", "lower"]
+DATE_CALLS = ["date_add", "dateadd", "date_sub", "datesub", "datediff", "date_diff", "extract", "date_trunc", "datetrunc"]
+
 EXPRESSION_CONFIDENCE: dict[str, float] = {
     "identity": 1.0, "cast": 0.95, "aggregate": 0.95, "string_transform": 0.9, "arithmetic": 0.9,
     "date_transform": 0.9, "conditional": 0.85, "subquery": 0.7, "formula": 0.8,
@@ -306,14 +321,14 @@ def semantic_type(name: Column, pii_type: Column, meta: Column | None = None) ->
     """pii, declared type, key kinds, timestamp, metric; null when nothing fits."""
     n = F.lower(name)
     declared = _meta(meta, "semantic_type")
-    ends_like_key = n.endswith("_id") | n.endswith("_key")
-    is_pk = n.isin("id", "pk", "primary_key")
+    ends_like_key = n.endswith(KEY_ENDINGS[0]) | n.endswith(KEY_ENDINGS[1])
+    is_pk = n.isin(PRIMARY_KEY_NAMES)
     return first_match(
         [
             (pii_type.isNotNull(), F.lit("pii")),
             (present(declared), declared),
-            (ends_like_key & contains_any(n, ["_sk", "surrogate"]), F.lit("surrogate_key")),
-            (ends_like_key & contains_any(n, ["natural", "business", "_bk"]), F.lit("business_key")),
+            (ends_like_key & contains_any(n, SURROGATE_PARTS), F.lit("surrogate_key")),
+            (ends_like_key & contains_any(n, BUSINESS_PARTS), F.lit("business_key")),
             (ends_like_key & ~is_pk, F.lit("foreign_key")),
             (is_pk | n.endswith("_pk"), F.lit("surrogate_key")),
             (contains_any(n, TIMESTAMP_PARTS), F.lit("timestamp")),
@@ -393,14 +408,14 @@ def standard_type(data_type: Column) -> Column:
         [
             (t.contains("NUMBER") & t.contains(",0)"), F.lit("INTEGER")),
             (t.contains("NUMBER"), F.lit("DECIMAL")),
-            (t.isin("FLOAT", "DOUBLE", "REAL"), F.lit("FLOAT")),
-            (t.startswith("VARCHAR") | t.isin("TEXT", "STRING"), F.lit("STRING")),
+            (t.isin(FLOAT_TYPES), F.lit("FLOAT")),
+            (t.startswith("VARCHAR") | t.isin(TEXT_TYPES), F.lit("STRING")),
             (t.contains("TIMESTAMP") & t.contains("LTZ"), F.lit("TIMESTAMP_TZ")),
             (t.contains("TIMESTAMP"), F.lit("TIMESTAMP")),
-            (t.isin("DATE", "TIME", "ARRAY", "BOOLEAN"), t),
+            (t.isin(KEPT_TYPES), t),
             (t == "VARIANT", F.lit("JSON")),
             (t == "OBJECT", F.lit("STRUCT")),
-            (t.isin("BINARY", "VARBINARY"), F.lit("BINARY")),
+            (t.isin(BINARY_TYPES), F.lit("BINARY")),
         ],
         data_type,
     )
@@ -457,10 +472,10 @@ def transformation_of(expression: Column, statement: Column | None = None) -> Co
             (low.rlike(r"^case\b") & low.rlike(r"\bend$"), "conditional"),
             (low.rlike(r"^\(\s*select\b"), "subquery"),
             (flat.rlike(r"[\w)\s][-+*/][\w\s(]"), "arithmetic"),
-            (call(["cast", "try_cast"]) | flat.rlike(r"::\s*\w+$"), "cast"),
-            (call(["sum", "avg", "count", "min", "max"]), "aggregate"),
-            (call(["concat", "substring", "substr", "upper", "lower"]), "string_transform"),
-            (call(["date_add", "dateadd", "date_sub", "datesub", "datediff", "date_diff", "extract", "date_trunc", "datetrunc"]), "date_transform"),
+            (call(CAST_CALLS) | flat.rlike(r"::\s*\w+$"), "cast"),
+            (call(AGGREGATE_CALLS), "aggregate"),
+            (call(STRING_CALLS), "string_transform"),
+            (call(DATE_CALLS), "date_transform"),
         ],
         "formula",
     )
