@@ -11,8 +11,9 @@ component already. This step may miss links; it only decides how well the groups
 such prefixes, rare tokens come first. A token that lies in the prefixes of one group only is dropped at once, so the
 tokens of a large family of copies count as those of one group. For each query q and each other group G that shares a
 prefix token with q, the overlap of q with the union of G's tokens bounds its overlap with every member; only groups
-that reach ceil(t |q|) are opened, and the members are compared exactly. Large groups have their union stored in
-blocks of bounded size, each with its own bound.
+that reach ceil(t |q|) are opened, and the members are compared exactly. The union is stored as a bitmap of 2 to 4
+bits a token: a token of q whose bit is missing is in no member. Large groups have their union stored in blocks of
+bounded size, each with its own bound.
 
 No link is lost: every pair of classes in different groups with similarity >= t passes all these filters.
 
@@ -27,7 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metaloom import staging
@@ -38,12 +40,14 @@ SIZE = 5
 #: similarity in percent: 100 * intersection >= PERCENT * union
 PERCENT = 80
 #: bands of the grouping step, and minimum hashes in each
-BANDS, ROWS = 8, 2
+BANDS, ROWS = 8, 3
 #: buckets of the token counts, and bits of the bitmap of classes; both fixed sizes
 BUCKETS = 1 << 18
 BITS = 1 << 23
 #: classes in a block of a group's token union
 BLOCK = 32
+#: up to so many rows (id, group) are sent to every executor; more are joined by a shuffle
+BROADCAST_ROWS = 500_000
 
 _seeds = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -94,8 +98,56 @@ def needed(n: np.ndarray | int) -> np.ndarray | int:
     return -(-n * PERCENT // 100)
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """A bit for each value of the tokens' last bits: 2 to 4 bits a token, a power of two in all."""
+    bits = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    out = np.zeros(bits, np.uint8)
+    out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def _sized(sign: bytes, size: int) -> np.ndarray:
+    """A signature brought to ``size`` bytes: folded, or repeated (which only adds bits)."""
+    own = np.frombuffer(sign, np.uint8)
+    return np.bitwise_or.reduce(own.reshape(-1, size)) if len(own) >= size else np.tile(own, size // len(own))
+
+
+def overlap_bound(n: int, sign: bytes, others: bytes) -> int:
+    """At most so many of the ``n`` tokens with signature ``sign`` are in a set with signature ``others``: each bit that is missing there is a token less."""
+    own = np.frombuffer(sign, np.uint8)
+    return n - int(np.bitwise_count(own & ~_sized(others, len(own))).sum())
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes whose signatures allow similarity >= t."""
+    kinds = dict(pairs.dtypes)
+    left = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sign").alias("sa"))
+    right = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sign").alias("sb"))
+
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            keep = [
+                (100 + PERCENT) * min(overlap_bound(na, sa, sb), overlap_bound(nb, sb, sa)) >= PERCENT * (na + nb)
+                for na, sa, nb, sb in zip(*(frame.column(k).to_pylist() for k in range(2, 6)))
+            ]
+            yield frame.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(batches, f"a {kinds['a']}, b {kinds['b']}")
+
+
+def _united(frame: pa.Table) -> pa.Table:
+    """The signature of a block's token union."""
+    signs = frame.column("sign").to_pylist()
+    size = max(map(len, signs))
+    union = np.zeros(size, np.uint8)
+    for sign in signs:
+        union |= _sized(sign, size)
+    n = frame.column("n").to_pylist()
+    return pa.table({"grp": frame.column("grp")[:1], "block": frame.column("block")[:1], "least": pa.array([min(n)], pa.int64()), "most": pa.array([max(n)], pa.int64()), "sign": pa.array([union.tobytes()], pa.binary())})
+
+
 def profiles(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set), bands, prefix of every row."""
+    """doc_id, n, d1, d2 (digest of the set), bands, prefix, sign of every row."""
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,33 +172,70 @@ def profiles(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 at = np.arange(len(tokens)) - np.repeat(first, n[some])
                 length = n - needed(n) + 1
                 kept = order[at < np.repeat(length[some], n[some])]
+                signs = [signature(tokens[f : f + k]) for f, k in zip(first, n[some])]
+                whole = np.full(m, None, object)
+                whole[some] = signs
                 yield pa.RecordBatch.from_arrays(
                     [
                         frame.column(0).slice(i, m), pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
-                        list_array(bands[some].reshape(-1).view(np.int64), np.where(n > 0, BANDS, 0)), list_array(tokens[kept].view(np.int64), np.where(n > 0, length, 0)),
+                        list_array(bands[some].reshape(-1).view(np.int64), np.where(n > 0, BANDS, 0)), list_array(tokens[kept].view(np.int64), np.where(n > 0, length, 0)), pa.array(whole.tolist(), pa.binary()),
                     ],
-                    ["doc_id", "n", "d1", "d2", "bands", "prefix"],
+                    ["doc_id", "n", "d1", "d2", "bands", "prefix", "sign"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, n long, d1 long, d2 long, bands array<long>, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, n long, d1 long, d2 long, bands array<long>, prefix array<long>, sign binary")
 
 
 def _bit(column: str) -> Column:
     return F.pmod(F.xxhash64(F.lit("bit"), F.col(column)), F.lit(BITS))
 
 
-def _tokens_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rep, n, tokens of the classes ``wanted`` (rep), made from the texts. The bitmap passes some others, the join drops them."""
-    spark = docs.sparkSession
-    maps = (
-        wanted.select((_bit("rep") + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    )
-    bits = np.zeros(BITS + (1 << 15), np.uint8)  # BITS / 8 bytes reach the driver at any size
+def _bitmap(rows: DataFrame, bit: Column) -> np.ndarray:
+    """BITS bits as bytes, those set that ``bit`` (0 to BITS - 1) gives for some row; BITS / 8 bytes reach the driver at any size."""
+    numbered = rows.select((bit + 1).alias("bit"))
+    maps = numbered.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    out = np.zeros(BITS // 8 + 4096, np.uint8)
     for r in maps:
-        run = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
-        bits[(r["part"] - 1) * len(run) : r["part"] * len(run)] = run
-    packed = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+        run = np.frombuffer(r["bits"], np.uint8)
+        out[(r["part"] - 1) * len(run) : r["part"] * len(run)] = run
+    return out
+
+
+def _with_tokens(owned: DataFrame, shared: DataFrame) -> DataFrame:
+    """token, rep, n, pos, grp, single: the prefixes of ``owned``, without (most of) the tokens that aren't ``shared``."""
+    spark = owned.sparkSession
+    packed = spark.sparkContext.broadcast(_bitmap(shared, F.pmod(F.col("token"), F.lit(BITS))))
+    kinds = dict(owned.dtypes)
+
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            prefix = frame.column(2)
+            tokens, ends = prefix.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(prefix).to_numpy(zero_copy_only=False))
+            first = np.concatenate([[0], ends])[:-1]
+            bit = tokens.view(np.uint64) & np.uint64(BITS - 1)
+            some = np.flatnonzero(packed.value[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+            row = np.searchsorted(ends, some, "right")
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tokens[some]), frame.column(0).take(at), frame.column(1).take(at), pa.array((some - first[row]).astype(np.int32)), frame.column(3).take(at), frame.column(4).take(at)],
+                ["token", "rep", "n", "pos", "grp", "single"],
+            )
+
+    schema = f"token long, rep {kinds['rep']}, n long, pos int, grp {kinds['grp']}, single boolean"
+    return owned.select("rep", "n", "prefix", "grp", "single").mapInArrow(batches, schema)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    """Delete one staged table that isn't read any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _tokens_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rep, tokens of the classes in ``pairs`` (a, b), made from the texts. The bitmap passes some others, the join drops them."""
+    spark = docs.sparkSession
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    packed = spark.sparkContext.broadcast(_bitmap(wanted, _bit("rep")))
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -178,53 +267,69 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         return staging.stage(df, staging.new_stage(spark, label))
 
     narrow = docs.select("doc_id", "text")
-    rows = stage(profiles(narrow, token_levels(narrow)), "profiles")
+    path = staging.new_stage(spark, "profiles")
+    rows = staging.stage(profiles(narrow, token_levels(narrow)), path)
     keyed = rows.where("n > 0 AND doc_id IS NOT NULL")
-    least = keyed.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # equal sets have equal profiles; copies are combined before the shuffle
+    classes = keyed.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("bands", "prefix", "sign")))
+    classes = stage(classes, "classes")
+    members = stage(keyed.select("doc_id", "n", "d1", "d2").join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).select("doc_id", "n", "rep"), "members")
+    alone = stage(rows.where("n = 0 OR doc_id IS NULL").select("doc_id", "n"), "alone")
+    _drop(spark, path)
     # rows with one id and several texts are one document
-    members = stage(keyed.select("doc_id", "n", "d1", "d2").join(least, ["n", "d1", "d2"]).select("doc_id", "n", "rep"), "members")
-    # the least id of a class and its set
-    classes = keyed.join(least.select(F.col("rep").alias("doc_id"), "n", "d1", "d2"), ["doc_id", "n", "d1", "d2"], "left_semi")
-    classes = classes.select(F.col("doc_id").alias("rep"), "n", "bands", "prefix").dropDuplicates(["rep", "n", "bands", "prefix"])
     same_id = members.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("a", "b")
 
     # groups
     bands = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     heads = bands.groupBy("band", "key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    star = stage(bands.join(heads, ["band", "key"]).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "star-pairs")
-    ids = star.select(F.col("a").alias("rep")).union(star.select("b")).distinct()
-    inner = stage(_similar(star, _tokens_of(narrow, ids)).union(same_id), "star-links")
+    star = bands.join(heads, ["band", "key"]).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    star = stage(_plausible(star, classes), "star-pairs")
+    inner = stage(_similar(star, _tokens_of(narrow, star)).union(same_id), "star-links")
     groups = stage(components(inner), "groups")
 
-    # matrix
-    tokens = classes.select("rep", "n", F.explode("prefix").alias("token")).join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    tokens = tokens.select("token", "rep", "n", F.coalesce("component", "rep").alias("grp"))
-    shared = tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
+    # matrix; single: the group is one class
+    known = groups.withColumnRenamed("id", "rep")
+    if groups.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    owned = classes.select("rep", "n", "prefix").join(known, "rep", "left").select("rep", "n", "prefix", F.coalesce("component", "rep").alias("grp"), F.col("component").isNull().alias("single"))
+    tokens = owned.select("grp", F.explode("prefix").alias("token"))
+    shared = stage(tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token"), "shared")
+    tokens = _with_tokens(owned, shared)
     probes = stage(tokens.join(shared, "token"), "probes")
-    matrix = probes.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = probes.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("pos").alias("pos"), F.first("single").alias("single"))
     fits = (F.col("q.grp") > F.col("m.grp")) & (100 * F.col("m.most") >= PERCENT * F.col("q.n")) & (PERCENT * F.col("m.least") <= 100 * F.col("q.n"))
-    queries = stage(
-        probes.alias("q").join(matrix.alias("m"), F.col("q.token") == F.col("m.token")).where(fits)
-        .select(F.col("q.rep").alias("q"), F.col("q.n").alias("nq"), F.col("m.grp").alias("grp")).distinct(), "queries",
+    met = probes.alias("q").join(matrix.alias("m"), F.col("q.token") == F.col("m.token")).where(fits)
+    met = met.groupBy(F.col("q.rep").alias("q"), F.col("q.n").alias("nq"), F.col("m.grp").alias("grp")).agg(
+        F.count(F.lit(1)).alias("c"), F.min("q.pos").alias("first"), F.max("q.pos").alias("last"), F.max("m.pos").alias("last_m"),
+        F.min("m.least").alias("least"), F.first("m.single").alias("single"),
     )
+    # Both orders agree: what a class has before a shared token is in its prefix, so the tokens of q before its first
+    # shared one are in no member, and for a single class those before the last shared one are known one by one.
+    most_common = F.when(
+        F.col("single"), F.least(F.col("c") + F.col("nq") - 1 - F.col("last"), F.col("c") + F.col("least") - 1 - F.col("last_m"))
+    ).otherwise(F.col("nq") - F.col("first"))
+    queries = stage(met.where((100 + PERCENT) * most_common >= PERCENT * (F.col("nq") + F.col("least"))).select("q", "nq", "grp"), "queries")
     open_groups = queries.select("grp").distinct()
-    inside = classes.select("rep", "n").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("grp"))
+    inside = classes.select("rep", "n", "sign").join(known, "rep", "left").select("rep", "n", "sign", F.coalesce("component", "rep").alias("grp"))
     inside = stage(inside.join(open_groups, "grp", "left_semi"), "inside")
-    ids = inside.select("rep").union(queries.select(F.col("q").alias("rep"))).distinct()
-    sets_of = stage(_tokens_of(narrow, ids), "token-sets")
     sized = inside.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
     blocks = inside.join(sized, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / BLOCK)))
-    member_sets = blocks.join(sets_of, "rep").select("grp", "block", "rep", "n", "m", "tokens")
-    union = member_sets.groupBy("grp", "block").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.min("n").alias("least"), F.max("n").alias("most"))
-    asked = queries.join(sets_of.select(F.col("rep").alias("q"), "tokens"), "q")
-    bound = F.size(F.array_intersect("tokens", "union"))
-    qualifying = stage(
-        asked.join(union, "grp").where((bound * 100 >= F.col("nq") * PERCENT) & (100 * F.col("most") >= PERCENT * F.col("nq")) & (PERCENT * F.col("least") <= 100 * F.col("nq"))).select("q", "nq", "grp", "block"),
-        "qualifying",
-    )
+    kind = dict(inside.dtypes)["grp"]
+    unions = blocks.select("grp", "block", "n", "sign").groupBy("grp", "block").applyInArrow(_united, f"grp {kind}, block long, least long, most long, sign binary")
+    asked = queries.join(classes.select(F.col("rep").alias("q"), F.col("sign").alias("own")), "q").join(unions, "grp")
+    asked = asked.where((100 * F.col("most") >= PERCENT * F.col("nq")) & (PERCENT * F.col("least") <= 100 * F.col("nq")))
+
+    def bounded(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            nq, own, sign = (frame.column(c).to_pylist() for c in ("nq", "own", "sign"))
+            keep = [100 * overlap_bound(n, a, b) >= PERCENT * n for n, a, b in zip(nq, own, sign)]
+            yield frame.filter(pa.array(keep, pa.bool_())).select(["q", "nq", "grp", "block"])
+
+    qualifying = asked.select("q", "nq", "grp", "block", "own", "sign").mapInArrow(bounded, f"q {kind}, nq long, grp {kind}, block long")
     opened = qualifying.join(blocks.select("grp", "block", F.col("rep").alias("b"), "n"), ["grp", "block"])
     opened = opened.where((100 * F.col("n") >= PERCENT * F.col("nq")) & (PERCENT * F.col("n") <= 100 * F.col("nq"))).select(F.col("q").alias("a"), "b").distinct()
-    return members, rows.where("n = 0 OR doc_id IS NULL").select("doc_id", "n"), inner.union(_similar(opened, sets_of))
+    opened = stage(_plausible(opened, classes), "opened")
+    return members, alone, inner.union(_similar(opened, _tokens_of(narrow, opened)))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
