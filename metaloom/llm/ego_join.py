@@ -102,6 +102,7 @@ def _leaves(classes: DataFrame, axes: dict[int, np.ndarray], eps: float) -> Data
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             points = [np.frombuffer(u, np.float64) @ axes[d] for d, u in zip(frame.column(3).to_pylist(), frame.column(4).to_pylist())]
+            points = [np.pad(p, (0, AXES - len(p))) for p in points]  # short vectors have fewer directions
             cells = [np.floor(p / eps).astype(np.int64).tolist() for p in points]
             yield pa.RecordBatch.from_arrays(
                 [*frame.columns, pa.array([p.tolist() for p in points], pa.list_(pa.float64())), pa.array(cells, pa.list_(pa.int64()))], [*frame.schema.names, "point", "cells"]
@@ -127,7 +128,12 @@ def _box(rows: DataFrame, low: str, high: str) -> DataFrame:
 
 
 def linked_classes(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(classes: rep, label, copies, size, unit; pairs a < b of classes with cosine >= threshold)."""
+    """(classes: rep, label, copies, size, unit; links: rep, others, root).
+
+    There is a row of links for each pair of leaves and each class that has a link in it: the vectors linked with it there
+    (copies counted), and the least class that is connected with it there. The pairs themselves, quadratic in a family of
+    near copies, never leave the task that finds them.
+    """
     spark = vectors.sparkSession
 
     def stage(df: DataFrame, label: str) -> DataFrame:
@@ -136,7 +142,8 @@ def linked_classes(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[Da
     classes = stage(prepared(vectors), "ego-classes")
     eps = math.sqrt(max(0.0, 2 - 2 * threshold)) + MARGIN
     kind = dict(classes.dtypes)
-    none = spark.createDataFrame([], f"a {kind['rep']}, b {kind['rep']}, cosine double")
+    schema = f"rep {kind['rep']}, others long, root {kind['rep']}"
+    none = spark.createDataFrame([], schema)
     axes = directions(classes)
     if not axes:
         return classes, none
@@ -155,24 +162,42 @@ def linked_classes(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[Da
         y = x.join(parts.select("label", "size", F.col("up").alias("b"), F.col("node").alias("yn"), F.struct("low", "high").alias("y")), ["label", "size", "b"])
         pairs = stage(y.where("xn <= yn").where(apart).select("label", "size", F.col("xn").alias("a"), F.col("yn").alias("b")), "ego-pairs")
 
-    filled = leaves.groupBy("label", "size", "leaf").agg(F.collect_list(F.struct("rep", "unit")).alias("rows"))  # LEAF rows each
+    filled = leaves.groupBy("label", "size", "leaf").agg(F.collect_list(F.struct("rep", "copies", "unit")).alias("rows"))  # LEAF rows each
     met = pairs.join(filled.select("label", "size", F.col("leaf").alias("a"), F.col("rows").alias("ra")), ["label", "size", "a"])
     met = met.join(filled.select("label", "size", F.col("leaf").alias("b"), F.col("rows").alias("rb")), ["label", "size", "b"])
 
     def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             for same, ra, rb in zip(frame.column(0).to_pylist(), frame.column(1), frame.column(2)):
-                (ia, ua), (ib, ub) = (([x["rep"] for x in r], np.stack([np.frombuffer(x["unit"], np.float64) for x in r])) for r in (ra.as_py(), rb.as_py()))
-                cosine = ua @ ub.T
-                i, j = np.nonzero(np.triu(cosine >= threshold, 1) if same else cosine >= threshold)
-                ids_a, ids_b = pa.array(ia).take(pa.array(i)), pa.array(ib).take(pa.array(j))
-                yield pa.RecordBatch.from_arrays([ids_a.cast(rep_type), ids_b.cast(rep_type), pa.array(cosine[i, j])], ["a", "b", "cosine"])
+                (ia, ca, ua), (ib, cb, ub) = ((np.array([x["rep"] for x in r]), np.array([x["copies"] for x in r]), np.stack([np.frombuffer(x["unit"], np.float64) for x in r])) for r in (ra.as_py(), rb.as_py()))
+                linked = ua @ ub.T >= threshold
+                if same:
+                    np.fill_diagonal(linked, False)
+                root_a, root_b = _roots(linked, ia, ib)
+                sides = [(ia, linked @ cb, root_a)] if same else [(ia, linked @ cb, root_a), (ib, linked.T @ ca, root_b)]
+                for ids, others, root in sides:
+                    some = others > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[some].tolist(), rep_type), pa.array(others[some].astype(np.int64)), pa.array(root[some].tolist(), rep_type)], ["rep", "others", "root"])
 
     rep_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind["rep"]]
-    found = met.select((F.col("a") == F.col("b")).alias("same"), "ra", "rb").mapInArrow(compare, f"a {kind['rep']}, b {kind['rep']}, cosine double")
+    found = met.select((F.col("a") == F.col("b")).alias("same"), "ra", "rb").mapInArrow(compare, schema)
     return classes, stage(found, "ego-links")
 
 
+def _roots(linked: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column of a link matrix, the least id that it is connected with."""
+    every, rank = np.unique(np.concatenate([ids_a, ids_b]), return_inverse=True)
+    a, b = rank[: len(ids_a)].astype(np.int64), rank[len(ids_a) :].astype(np.int64)
+    while True:
+        new_b = np.minimum(b, np.where(linked, a[:, None], len(every)).min(0, initial=len(every)))
+        new_a = np.minimum(a, np.where(linked, new_b[None, :], len(every)).min(1, initial=len(every)))
+        if ids_a is ids_b or len(ids_a) == len(ids_b) and np.array_equal(ids_a, ids_b):  # one set on both sides
+            new_a = new_b = np.minimum(new_a, new_b)
+        if np.array_equal(new_a, a) and np.array_equal(new_b, b):
+            return every[a], every[b]
+        a, b = new_a, new_b
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row.
 
@@ -180,12 +205,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     no links, a component of their own, kept. Vectors of different length never link. Repeated rows (equal id and vector) count
     as vectors of their own. A row without vec_id takes no part: no links, no component, not kept.
     """
-    classes, pairs = linked_classes(vectors, threshold)
-    both = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a")))
-    sized = classes.select(F.col("rep").alias("b"), "copies")
-    others = both.join(sized, "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    found = components(pairs.select("a", "b"))
-    known = classes.select("rep", "label", "copies").join(others.withColumnRenamed("a", "rep"), "rep", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    classes, links = linked_classes(vectors, threshold)
+    others = links.groupBy("rep").agg(F.sum("others").alias("others"))
+    found = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    known = classes.select("rep", "label", "copies").join(others, "rep", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     rows = vectors.where("label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "label", "embedding")
     least = rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"))
     member = rows.join(least, ["label", "embedding"]).select("vec_id", "rep", "label")
