@@ -6,6 +6,7 @@ from metaloom.functions import classify, schedule
 from metaloom.operators import impact, rollups, slo, timeline
 from metaloom.plans.registry import Catalog, query
 from metaloom.plans.views import NOW
+from metaloom.sources import orchestrator
 
 # ------------------------------------------------------- oracle fragments
 
@@ -61,6 +62,29 @@ def f16_f17_task_types(c: Catalog):
     return tasks.select("operator", "task_id", classify.task_type(F.col("operator")).alias("task_type"), classify.operation_type(F.col("operator"), F.col("task_id")).alias("operation_type"))
 
 
+@query("f18_dependency_types", """
+    SELECT edge_type, CASE edge_type WHEN 'produces' THEN 'write' WHEN 'transforms' THEN 'transform' ELSE 'read' END AS dependency_type, count(*) AS n FROM v_task_edges GROUP BY 1, 2""")
+def f18_dependency_types(c: Catalog):
+    return c.view("v_task_edges").groupBy("edge_type").agg(F.count("*").alias("n")).select("edge_type", classify.dependency_type(F.col("edge_type")).alias("dependency_type"), "n")
+
+
+@query("src22_malformed_urns", """
+    WITH a AS (SELECT task_urn, CASE WHEN edge_type = 'validates' THEN replace(capsule_urn, ':', '/') WHEN edge_type = 'produces' THEN 'urn:cat:part:' ELSE capsule_urn END AS capsule_urn FROM v_task_edges)
+    SELECT task_urn, capsule_urn FROM a WHERE NOT regexp_matches(capsule_urn, '^urn:cat:[^:]+:.+')""")
+def src22_malformed_urns(c: Catalog):
+    edge, urn = F.col("edge_type"), F.col("capsule_urn")
+    broken = F.when(edge == "validates", F.replace(urn, F.lit(":"), F.lit("/"))).when(edge == "produces", "urn:cat:part:").otherwise(urn)
+    return orchestrator.malformed_urns(c.view("v_task_edges").select("task_urn", broken.alias("capsule_urn")))
+
+
+@query("src23_best_statement", """
+    WITH m AS (SELECT task_urn, CASE edge_type WHEN 'consumes' THEN 'select' WHEN 'produces' THEN 'insert' ELSE 'update' END AS statement, capsule_urn FROM v_task_edges)
+    SELECT task_urn, statement, capsule_urn FROM m QUALIFY rank() OVER (PARTITION BY task_urn ORDER BY CASE statement WHEN 'select' THEN 1 WHEN 'insert' THEN 2 ELSE 3 END) = 1""")
+def src23_best_statement(c: Catalog):
+    statement = F.when(F.col("edge_type") == "consumes", "select").when(F.col("edge_type") == "produces", "insert").otherwise("update")
+    return orchestrator.best_statement(c.view("v_task_edges").select("task_urn", statement.alias("statement"), "capsule_urn"))
+
+
 @query("tmp1_frequency", f"""
     WITH {_SCHED} SELECT source_system, sum(runs) AS executions_per_day, sum(runs) * 7 AS executions_per_week,
       CASE WHEN sum(runs) >= 24 THEN 'High frequency (hourly or more)' WHEN sum(runs) >= 7 THEN 'Moderate frequency (multiple times daily)' WHEN sum(runs) >= 1 THEN 'Daily execution'
