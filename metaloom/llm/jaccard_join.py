@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from metaloom import staging
 from metaloom.llm.components import components
-from metaloom.llm.text import buffers, list_array, mix, sets, shingles, slices, words
+from metaloom.llm.text import buffers, list_array, mix, sets, shingles, slices, tidy, words
 
 SIZE = 5
 #: similarity in percent: 100 * intersection >= PERCENT * union
@@ -78,7 +78,7 @@ def token_levels(docs: DataFrame) -> np.ndarray:
             run = total[k * BUCKETS // parts : (k + 1) * BUCKETS // parts]
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([run.astype(np.uint64).tobytes()], pa.binary())], ["part", "counts"])
 
-    sums = docs.select("text").mapInArrow(batches, "part int, counts binary").groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()
+    sums = docs.select("text").mapInArrow(tidy(batches), "part int, counts binary").groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()
     counts = np.ones(BUCKETS)
     for r in sums:
         run = np.frombuffer(r["counts"], np.uint64)
@@ -132,7 +132,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             ]
             yield frame.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(batches, f"a {kinds['a']}, b {kinds['b']}")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(tidy(batches), f"a {kinds['a']}, b {kinds['b']}")
 
 
 def _united(frame: pa.Table) -> pa.Table:
@@ -183,7 +183,7 @@ def profiles(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     ["doc_id", "n", "d1", "d2", "bands", "prefix", "sign"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, n long, d1 long, d2 long, bands array<long>, prefix array<long>, sign binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(batches), f"doc_id {kind}, n long, d1 long, d2 long, bands array<long>, prefix array<long>, sign binary")
 
 
 def _bit(column: str) -> Column:
@@ -222,7 +222,7 @@ def _with_tokens(owned: DataFrame, shared: DataFrame) -> DataFrame:
             )
 
     schema = f"token long, rep {kinds['rep']}, n long, pos int, grp {kinds['grp']}, single boolean"
-    return owned.select("rep", "n", "prefix", "grp", "single").mapInArrow(batches, schema)
+    return owned.select("rep", "n", "prefix", "grp", "single").mapInArrow(tidy(batches), schema)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -246,7 +246,7 @@ def _tokens_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([frame.column(0).slice(i, j - i), list_array(tokens.view(np.int64), n)], ["rep", "tokens"])
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    made = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", _bit("doc_id").alias("bit")).mapInArrow(batches, f"rep {kind}, tokens array<long>")
+    made = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", _bit("doc_id").alias("bit")).mapInArrow(tidy(batches), f"rep {kind}, tokens array<long>")
     return made.join(wanted, "rep", "left_semi").where(F.size("tokens") > 0)
 
 
@@ -325,10 +325,22 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             keep = [100 * overlap_bound(n, a, b) >= PERCENT * n for n, a, b in zip(nq, own, sign)]
             yield frame.filter(pa.array(keep, pa.bool_())).select(["q", "nq", "grp", "block"])
 
-    qualifying = asked.select("q", "nq", "grp", "block", "own", "sign").mapInArrow(bounded, f"q {kind}, nq long, grp {kind}, block long")
-    opened = qualifying.join(blocks.select("grp", "block", F.col("rep").alias("b"), "n"), ["grp", "block"])
-    opened = opened.where((100 * F.col("n") >= PERCENT * F.col("nq")) & (PERCENT * F.col("n") <= 100 * F.col("nq"))).select(F.col("q").alias("a"), "b").distinct()
-    opened = stage(_plausible(opened, classes), "opened")
+    qualifying = asked.select("q", "nq", "grp", "block", "own", "sign").mapInArrow(tidy(bounded), f"q {kind}, nq long, grp {kind}, block long")
+    # members of a qualifying block are compared by signature where the block is opened, and only those that may be similar come out
+    filled = blocks.groupBy("grp", "block").agg(F.collect_list(F.struct("rep", "n", "sign")).alias("rows"))  # about BLOCK rows each
+    opened = qualifying.join(filled, ["grp", "block"]).join(classes.select(F.col("rep").alias("q"), F.col("sign").alias("own")), "q")
+
+    def opened_pairs(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            a, b = [], []
+            for q, nq, own, rows_ in zip(*(frame.column(c).to_pylist() for c in ("q", "nq", "own", "rows"))):
+                near = [r["rep"] for r in rows_ if (100 + PERCENT) * min(overlap_bound(nq, own, r["sign"]), overlap_bound(r["n"], r["sign"], own)) >= PERCENT * (nq + r["n"])]
+                a += [q] * len(near)
+                b += near
+            yield pa.RecordBatch.from_arrays([pa.array(a, frame.schema.field("q").type), pa.array(b, frame.schema.field("q").type)], ["a", "b"])
+
+    opened = opened.select("q", "nq", "own", "rows").mapInArrow(tidy(opened_pairs), f"a {kind}, b {kind}")
+    opened = stage(opened, "opened")
     return members, alone, inner.union(_similar(opened, _tokens_of(narrow, opened)))
 
 
