@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.text import buffers, lowered, runs, shingles, slices
+from metaloom.llm.text import buffers, lowered, runs, shingles, slices, tidy
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -70,7 +70,7 @@ def _segments(items: DataFrame) -> DataFrame:
             types = {"item_id": frame.schema.field(0).type, "seg": pa.int32(), "words": pa.int64()}
             yield pa.RecordBatch.from_arrays([pa.array(v, types.get(n, pa.list_(pa.int64()))) for n, v in out.items()], list(out))
 
-    return items.select("item_id", "text").mapInArrow(batches, f"item_id {kind}, seg int, words long, terms array<long>, tf array<long>, question array<long>, answer array<long>")
+    return items.select("item_id", "text").mapInArrow(tidy(batches), f"item_id {kind}, seg int, words long, terms array<long>, tf array<long>, question array<long>, answer array<long>")
 
 
 @dataclass(frozen=True)
@@ -250,7 +250,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
                         ["doc_id", "item_id", "passage", "score", "question_overlap", "answer_overlap"],
                     )
 
-        part = docs.select("doc_id", "text").mapInArrow(batches, schema)
+        part = docs.select("doc_id", "text").mapInArrow(tidy(batches), schema)
         out = part if out is None else out.union(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -270,5 +270,5 @@ def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
                         keep[i + got[0]] = False
                 yield frame.filter(pa.array(keep))
 
-        out = out.mapInArrow(batches, docs.schema)
+        out = out.mapInArrow(tidy(batches), docs.schema)
     return out

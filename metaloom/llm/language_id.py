@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaloom import staging
-from metaloom.llm.text import buffers, lowered, slices
+from metaloom.llm.text import buffers, lowered, slices, tidy
 from metaloom.llm.url_filter import host_of
 
 FIT_ROWS = 8000
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
         total = sum(np.frombuffer(x, np.float64) for x in table.column("counts").to_pylist())
         return pa.table({"lang": table.column("lang")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    got = sample.select("lang", "text").mapInArrow(batches, "lang string, counts binary").groupBy("lang").applyInArrow(summed, "lang string, counts binary").collect()
+    got = sample.select("lang", "text").mapInArrow(tidy(batches), "lang string, counts binary").groupBy("lang").applyInArrow(summed, "lang string, counts binary").collect()
     got = sorted(got, key=lambda r: r["lang"])  # a row for each language
     counts = np.stack([np.frombuffer(r["counts"], np.float64) for r in got]) + 0.5 if got else np.zeros((0, BUCKETS))
     return [r["lang"] for r in got], np.log(counts / counts.sum(1, keepdims=True)) if got else counts
@@ -147,7 +147,7 @@ def evidence(pages: DataFrame, languages: list[str], table: np.ndarray) -> DataF
             )
 
     named = pages.select("page_id", F.regexp_replace(host_of(F.col("url")), r"(^[^@]*@)|(:[0-9]*$)", "").alias("host"), "html")
-    out = named.mapInArrow(batches, f"page_id {kind}, host string, declared string, text array<double>")
+    out = named.mapInArrow(tidy(batches), f"page_id {kind}, host string, declared string, text array<double>")
     return out.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
 
 
@@ -214,4 +214,4 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
             )
 
     met = own.withColumn("given", F.col("declared")).withColumn("declared", F.coalesce("declared", F.lit(""))).join(said, "declared").join(priors, "host")
-    return met.select("page_id", "host", "given", "text", "of_host", "of_domain", "said").mapInArrow(judge, schema)
+    return met.select("page_id", "host", "given", "text", "of_host", "of_domain", "said").mapInArrow(tidy(judge), schema)

@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaloom.llm.pieces import SPACE, Vocabulary, points, vocabulary
-from metaloom.llm.text import list_array, mix
+from metaloom.llm.text import list_array, mix, tidy
 
 ALPHA = 1.0
 ZIPF_SHIFT = 2.7
 #: characters handled at once; longer rows are split at proven boundaries
-SLICE = 1 << 19
+SLICE = 1 << 17
 #: longer segments are filtered one by one, in logarithms
 LONG = 96
 
@@ -124,7 +124,7 @@ class Segments:
     The incoming edges of a node lie together, the heaviest first; ``below`` is the cumulative share within the node.
     """
 
-    MOST_EDGES = 3_000_000
+    MOST_EDGES = 1_000_000
 
     def __init__(self, lat: Lattice):
         self.lat = lat
@@ -361,7 +361,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, alpha: float = A
                 i = j
 
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("_key"))
-    return rows.mapInArrow(batches, f"doc_id {kind}, n_pieces long, ids array<int>, text_crc32 long, decoded_crc32 long, lossless boolean")
+    return rows.mapInArrow(tidy(batches), f"doc_id {kind}, n_pieces long, ids array<int>, text_crc32 long, decoded_crc32 long, lossless boolean")
 
 
 def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -377,4 +377,4 @@ def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
             texts = [b.decode("utf-8", "surrogatepass") if ok else None for b, ok in zip(back, column.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(batches, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(batches), f"doc_id {kind}, text string")

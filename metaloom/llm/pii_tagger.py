@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaloom import staging
+from metaloom.llm.text import tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: rows with base spans to train on, and rows without
@@ -424,7 +425,7 @@ def find_documents(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
                     ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(batches), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def redact(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
@@ -449,4 +450,4 @@ def redact(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
                     new.append(given[k] if not spans else "".join(pieces) + text[done:])
             yield pa.RecordBatch.from_arrays([pa.array(new, frame.schema.field(at).type) if c == at else frame.column(c) for c in range(frame.num_columns)], schema=frame.schema)
 
-    return docs.mapInArrow(batches, docs.schema)
+    return docs.mapInArrow(tidy(batches), docs.schema)

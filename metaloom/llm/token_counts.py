@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaloom.llm.pieces import Vocabulary, vocabulary
+from metaloom.llm.text import tidy
 
 CHUNK = 1 << 14
 OVERLAP = 256
@@ -107,4 +108,4 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT,
             yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(batches, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(tidy(batches), f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

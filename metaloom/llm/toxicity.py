@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from metaloom import staging
 from metaloom.llm.text import byte_codes as codes
-from metaloom.llm.text import buffers, lowered, mix, powers, slices
+from metaloom.llm.text import buffers, lowered, mix, powers, slices, tidy
 
 #: labelled rows of each class to fit on
 FIT_ROWS = 3000
@@ -229,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, terms: int = T
                 bad = np.bincount(place, y, len(hashed)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), pa.array(bad), pa.array(np.bincount(place, 1 - y, len(hashed)).astype(np.int64))], ["term", "bad", "good"])
 
-    counted = sample.select("text", "toxic").mapInArrow(term_rows, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counted = sample.select("text", "toxic").mapInArrow(tidy(term_rows), "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     n_bad, n_good = min(rows, size[1]), min(rows, size[0])
     a, b, c, d = F.col("bad") + 0.5, F.col("good") + 0.5, F.lit(n_bad + 1) - F.col("bad") - 0.5, F.lit(n_good + 1) - F.col("good") - 0.5
     odds = F.log(a * d / (b * c)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)  # log odds ratio over its standard error
@@ -246,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, terms: int = T
                 flat = np.concatenate([n, p], 1).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([frame.column(1).slice(i, j - i), frame.column(2).slice(i, j - i), pa.array([x.tobytes() for x in flat], pa.binary())], ["toxic", "doc_id", "x"])
 
-    got = sample.select("text", "toxic", "doc_id").mapInArrow(feature_rows, f"toxic int, doc_id {dict(sample.dtypes)['doc_id']}, x binary").toPandas().sort_values("doc_id")
+    got = sample.select("text", "toxic", "doc_id").mapInArrow(tidy(feature_rows), f"toxic int, doc_id {dict(sample.dtypes)['doc_id']}, x binary").toPandas().sort_values("doc_id")
     if len(got) == 0:  # labels of documents that aren't there
         return constant()
     flat = np.stack([np.frombuffer(x, np.float32) for x in got["x"]])
@@ -270,7 +270,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 s = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
                 yield pa.RecordBatch.from_arrays([frame.column(0).slice(i, j - i), pa.array(s)], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(batches), f"doc_id {kind}, score double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -293,4 +293,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 keep[i:j] = (design(n, p) - model.mean) / model.scale @ model.weights + model.bias < 0
             yield frame.filter(pa.array(keep))
 
-    return docs.mapInArrow(batches, docs.schema).select(*names)
+    return docs.mapInArrow(tidy(batches), docs.schema).select(*names)
