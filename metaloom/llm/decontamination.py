@@ -11,7 +11,9 @@ impacts don't add up to the threshold are skipped; all others are scored exactly
 threshold are retrieved, there is no limit on their number.
 
 *Check.* A retrieved item is a leak if enough three-word runs of its question (the first two thirds of its words) and of
-its answer (the rest) occur around the passage.
+its answer (the rest) occur around the passage: in the passage and, on both sides, half a passage for each segment of
+the item, which is the item's own length at least. What the passages that retrieve segments of one item have around
+them counts together; an item of one segment must be found around one passage.
 
 Documents stay where they are: no shuffle. The index of one part of the items (``POSTINGS`` postings at most on average)
 is sent to the tasks; more items make more parts, each searched in its own pass.
@@ -85,6 +87,7 @@ class Index:
     strong_segment: np.ndarray
     question: list[np.ndarray]
     answer: list[np.ndarray]
+    parts: np.ndarray  # of each segment: how many its item has
 
     @property
     def blocks(self) -> int:
@@ -112,9 +115,13 @@ def build(rows: list, threshold: float = THRESHOLD) -> Index:
     cum = cum - (cum[first] - impact[by][first])
     strong = by[cum >= threshold - 1e-9]
     strong = strong[np.argsort(number[strong], kind="stable")]
+    parts: dict = {}
+    for r in rows:
+        parts[r["item_id"]] = max(parts.get(r["item_id"], 0), r["seg"] + 1)
     return Index(
         [r["item_id"] for r in rows], terms, keys, impacts, block_keys, block_max, np.searchsorted(number[strong], np.arange(len(terms) + 1)), segment[strong],
         [np.array(r["question"], np.int64).view(np.uint64) for r in rows], [np.array(r["answer"], np.int64).view(np.uint64) for r in rows],
+        np.array([parts[r["item_id"]] for r in rows], np.int64),
     )
 
 
@@ -178,24 +185,43 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float
     p, s = p[open_], s[open_]
     score = _summed(p, s, first, count, number, segments, index.keys, index.impacts)
     good = score >= threshold - 1e-9
-    best: dict[tuple[int, int], tuple[int, int, int, float, float, float]] = {}
-    for pi, si, sc in zip(whose[p[good]], s[good], score[good]):
+    # retrieved passages that are judged together: those of one segment's item each for itself, those of a longer item all at once
+    together: dict[tuple, list[tuple[float, int, int]]] = {}
+    for pi, si, sc in zip(whose[p[good]].tolist(), s[good].tolist(), score[good].tolist()):
         row = int(np.searchsorted(halves, pi, "right") - 1)
         part = int(pi - halves[row])
-        low, high = first_word[row] + max(0, (part - 1) * half), min(first_word[row + 1], first_word[row] + (part + 3) * half)
-        near = hashed[low:high]
-        found = shingles(np.zeros(len(near), np.int64), near, RUN)[1]
-        if len(near) >= 2:  # answers of one or two words are looked for as such
-            found = np.concatenate([found, *(_short(near, c) for c in (1, 2) if len(near) >= c)])
+        together.setdefault((row, index.item[si], part if index.parts[si] == 1 else None), []).append((sc, part, si))
+    best: dict[tuple, tuple[int, int, int, float, float, float]] = {}
+    for (row, item, _), got in together.items():
+        sc, part, si = max(got, key=lambda x: x[0])
+        margin = half * int(index.parts[si])
+        near, stretch = [], []
+        for low, high in _joined(sorted((k * half - margin, k * half + PASSAGE + margin) for k in {x[1] for x in got})):
+            words = hashed[first_word[row] + max(0, low) : min(first_word[row + 1], first_word[row] + high)]
+            stretch.append(np.full(len(words), len(near)))
+            near.append(words)
+        found = shingles(np.concatenate(stretch), np.concatenate(near), RUN)[1]
+        if index.parts[si] == 1 and len(near[0]) >= 2:  # answers of one or two words are looked for as such
+            found = np.concatenate([found, *(_short(near[0], c) for c in (1, 2))])
         q, a = (float(np.isin(x[si], found).mean()) if len(x[si]) else 1.0 for x in (index.question, index.answer))
         if q >= OVERLAP and a >= OVERLAP:
-            key = (row, index.item[si])
             new = (row, int(si), part, float(sc), q, a)
-            if key not in best or best[key][3] < new[3]:
-                best[key] = new
+            if (row, item) not in best or best[row, item][3] < sc:
+                best[row, item] = new
     return sorted(best.values())
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, those that touch or overlap made one."""
+    out: list[tuple[int, int]] = []
+    for low, high in spans:
+        if out and low <= out[-1][1]:
+            out[-1] = out[-1][0], max(high, out[-1][1])
+        else:
+            out.append((low, high))
+    return out
+
+
 def _short(near: np.ndarray, c: int) -> np.ndarray:
     """Hashes of all sequences of ``c`` words as ``shingles`` gives them to texts that are no longer."""
     n = len(near) - c + 1

@@ -97,6 +97,26 @@ def test_leaks_against_all_pairs(spark):
     assert decontamination.find_leaks(docs_table.limit(0), items_table).count() == 0
 
 
+def test_leaks_of_long_items(spark):
+    r = random.Random(18)
+    items = [(n, prose(r, n)) for n in (300, 450, 500, 700, 2000)]
+    docs, wanted = [], set()
+    for n, text in items:
+        words = text.split()
+        edited = [w if k % 40 else "changed" for k, w in enumerate(words)]
+        apart = words[: n // 2] + prose(r, 3 * n).split() + words[n // 2 :]  # in two pieces
+        copies = [words] * 8 + [edited, apart]
+        for k, copy in enumerate(copies):
+            wanted.add((len(docs), n))
+            docs.append((len(docs), f"{prose(r, 23 * k)} {' '.join(copy)} {prose(r, 300)}"))
+        # the question alone, the answer alone, and other text are no leaks
+        docs += [(len(docs) + k, f"{prose(r, 90)} {' '.join(x)} {prose(r, 90)}") for k, x in enumerate((words[: 2 * n // 3], words[-(n // 3) :], prose(r, 2 * n).split()))]
+    docs_table, items_table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [(x.doc_id, x.item_id) for x in decontamination.find_leaks(docs_table, items_table).collect()]
+    assert set(got) == wanted and len(got) == len(wanted)
+    assert {x.doc_id for x in decontamination.drop_leaks(docs_table, items_table).collect()} == {k for k, _ in docs} - {k for k, _ in wanted}
+
+
 def test_pruned_search_finds_all_scores_above_the_threshold(spark):
     r = random.Random(9)
     items = spark.createDataFrame([(k, prose(r, 30)) for k in range(60)], "item_id long, text string")
