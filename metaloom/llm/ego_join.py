@@ -162,14 +162,14 @@ def linked_classes(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[Da
         y = x.join(parts.select("label", "size", F.col("up").alias("b"), F.col("node").alias("yn"), F.struct("low", "high").alias("y")), ["label", "size", "b"])
         pairs = stage(y.where("xn <= yn").where(apart).select("label", "size", F.col("xn").alias("a"), F.col("yn").alias("b")), "ego-pairs")
 
-    filled = leaves.groupBy("label", "size", "leaf").agg(F.collect_list(F.struct("rep", "copies", "unit")).alias("rows"))  # LEAF rows each
+    filled = leaves.groupBy("label", "size", "leaf").agg(F.sort_array(F.collect_list(F.struct("rep", "copies", "unit"))).alias("rows"))  # LEAF rows each, in one order wherever they are read
     met = pairs.join(filled.select("label", "size", F.col("leaf").alias("a"), F.col("rows").alias("ra")), ["label", "size", "a"])
     met = met.join(filled.select("label", "size", F.col("leaf").alias("b"), F.col("rows").alias("rb")), ["label", "size", "b"])
 
     def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             for same, ra, rb in zip(frame.column(0).to_pylist(), frame.column(1), frame.column(2)):
-                (ia, ca, ua), (ib, cb, ub) = ((np.array([x["rep"] for x in r]), np.array([x["copies"] for x in r]), np.stack([np.frombuffer(x["unit"], np.float64) for x in r])) for r in (ra.as_py(), rb.as_py()))
+                (ia, ca, ua), (ib, cb, ub) = ((np.array([x["rep"] for x in r]), np.array([x["copies"] for x in r]), np.stack([np.frombuffer(x["unit"], np.float64) for x in r])) for r in (ra.as_py(), (ra if same else rb).as_py()))
                 linked = ua @ ub.T >= threshold
                 if same:
                     np.fill_diagonal(linked, False)

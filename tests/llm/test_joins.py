@@ -4,6 +4,8 @@ import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from metaloom.llm import ego_join, jaccard_join
 from metaloom.llm.components import components
@@ -96,3 +98,31 @@ def test_near_vectors(spark):
     got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in ego_join.near_duplicates(table).collect()}
     assert linked and got == {i: (links[i], wanted[i], wanted[i] == i) for i in links}
     assert ego_join.near_duplicates(table.limit(0)).count() == 0
+
+
+@pytest.fixture()
+def any_order(spark, monkeypatch):
+    """Lists are collected in another order each time that they are read."""
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    collected = F.collect_list
+    shuffled = F.udf(lambda xs: random.sample(xs, len(xs)), "array<struct<rep:bigint,copies:bigint,unit:binary>>")
+    monkeypatch.setattr(ego_join.F, "collect_list", lambda c: shuffled(collected(c)))
+    yield
+    spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_near_vectors_in_any_order_of_arrival(spark, any_order):
+    r = np.random.default_rng(17)
+    rows = []
+    while len(rows) < 1500:  # some leaves for each of two labels
+        centre = r.normal(size=16)
+        for _ in range(r.integers(1, 5)):
+            rows.append((len(rows), (centre + r.normal(size=16) * 0.15).tolist(), len(rows) % 2))
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    label = np.array([x for _, _, x in rows])
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    wanted = brute_components(range(len(rows)), np.argwhere(near).tolist())
+    got = {x.vec_id: (x.n_links, x.component_id) for x in ego_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert near.any() and got == {k: (int(near[k].sum()), wanted[k]) for k in range(len(rows))}
