@@ -2,7 +2,7 @@
 
 * *Text.* Naive Bayes over hashed byte trigrams of the visible text; trained on at most ``FIT_ROWS`` documents with a
   language (those with the smallest hash of their id). Trigrams overlap, so their evidence is divided by three.
-* *Markup.* The declared language of the page (``lang`` of its root element) as a noisy statement:
+* *Markup.* The declared language of the page (``lang`` of its root element, wherever in the page that begins) as a noisy statement:
   P(declared | language) is estimated from all pages by one grouped sum of the text's posteriors, and smoothed.
 * *Address.* A prior for each host, smoothed hierarchically: the host's share of languages leans on that of its domain (the
   last two labels), which leans on that of its suffix (the last label), which leans on that of all pages. The
@@ -39,14 +39,33 @@ OVERLAP = 3.0
 _letters = np.full(256, 32, np.uint8)
 _letters[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _letters[0x80:] = np.arange(0x80, 0x100)
-_root = re.compile(r"<html\b[^<>]{0,2000}?\s(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.I)
+_attribute = re.compile(r"""[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?)""")
+_language = re.compile(r"[\"']?\s*([A-Za-z]{2})")
 _tag = re.compile(r"<[/!?]?\s*([A-Za-z][A-Za-z0-9]*)")
 _ends = {name: re.compile(rf"</\s*{name}\b", re.I) for name in ("script", "style", "noscript", "template")}
 
 
-def visible_text(page: str) -> str:
-    """Text outside of tags, comments, scripts and styles, entities resolved; one pass over the page."""
+def _lang_of(page: str, at: int) -> tuple[str | None, int]:
+    """The language that the tag with attributes from ``at`` on declares, and where reading ended."""
+    while attribute := _attribute.match(page, at):
+        at = attribute.end()
+        if attribute[1]:
+            break
+        if attribute[3] and attribute[2].lower() in ("lang", "xml:lang"):
+            found = _language.match(attribute[3])
+            if found:
+                return found[1].lower(), at
+    return None, at
+
+
+def read_page(page: str) -> tuple[str, str | None]:
+    """(text, declared language); one pass over the page.
+
+    The text is that outside of tags, comments, scripts and styles, entities resolved. The language is that of the first
+    root tag that has one; those in comments, scripts and other text that isn't shown don't count.
+    """
     parts, at = [], 0
+    declared, read = None, 0
     while True:
         lt = page.find("<", at)
         if lt < 0:
@@ -54,7 +73,7 @@ def visible_text(page: str) -> str:
             break
         parts.append(page[at:lt])
         if page.startswith("<!--", lt):
-            end = page.find("-->", lt + 4)
+            end = page.find("-->", lt + 2)  # <!--> is a whole comment
             at = end + 3 if end >= 0 else len(page)
             continue
         tag = _tag.match(page, lt)
@@ -62,6 +81,8 @@ def visible_text(page: str) -> str:
             parts.append("<")
             at = lt + 1
             continue
+        if declared is None and lt >= read and tag[1].lower() == "html" and tag.end() == lt + 5 and page[lt + 5 : lt + 6] in ("", ">", "/", " ", "\t", "\n", "\f", "\r"):
+            declared, read = _lang_of(page, tag.end())
         gt = page.find(">", tag.end())
         if gt < 0:
             break
@@ -72,12 +93,15 @@ def visible_text(page: str) -> str:
             at = end.start() if end else len(page)
         else:
             parts.append(" ")
-    return html.unescape("".join(parts))
+    return html.unescape("".join(parts)), declared
+
+
+def visible_text(page: str) -> str:
+    return read_page(page)[0]
 
 
 def declared_language(page: str) -> str | None:
-    found = _root.search(page, 0, 4096)
-    return found[1].lower()[:2] if found else None
+    return read_page(page)[1]
 
 
 def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,16 +158,16 @@ def evidence(pages: DataFrame, languages: list[str], table: np.ndarray) -> DataF
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            raw = [x or "" for x in frame.column(2).to_pylist()]
-            data, offsets = buffers(lowered(pa.array([visible_text(x) for x in raw], pa.large_string())))
-            score = np.zeros((len(raw), len(languages)))
+            texts, declared = zip(*(read_page(x or "") for x in frame.column(2).to_pylist())) if frame.num_rows else ((), ())
+            data, offsets = buffers(lowered(pa.array(texts, pa.large_string())))
+            score = np.zeros((len(texts), len(languages)))
             for i, j in slices(offsets):
                 r, b = _trigrams(data, offsets[i : j + 1])
                 for k in range(len(languages)):
                     score[i:j, k] = np.bincount(r, sent.value[k][b], j - i)
             score = (score - score.max(1, keepdims=True)) / OVERLAP
             yield pa.RecordBatch.from_arrays(
-                [frame.column(0), frame.column(1), pa.array([declared_language(x) for x in raw], pa.string()), pa.array(score.tolist(), pa.list_(pa.float64()))], ["page_id", "host", "declared", "text"]
+                [frame.column(0), frame.column(1), pa.array(declared, pa.string()), pa.array(score.tolist(), pa.list_(pa.float64()))], ["page_id", "host", "declared", "text"]
             )
 
     named = pages.select("page_id", F.regexp_replace(host_of(F.col("url")), r"(^[^@]*@)|(:[0-9]*$)", "").alias("host"), "html")

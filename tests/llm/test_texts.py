@@ -229,6 +229,19 @@ def test_language(spark):
     assert {x.lang for x in language_id.identify(table, docs.limit(0)).collect()} == {None}
 
 
+def test_declared_language_wherever_the_root_is():
+    declared = language_id.declared_language
+    assert declared("<!-- " + "licence " * 3000 + "--><html lang='de'>") == "de"
+    assert declared(" \n" * 5000 + "<!DOCTYPE html>\n<HTML LANG = pt-BR>") == "pt"
+    assert declared(f"<html class='{'c ' * 4000}' data-x='a > b' xml:lang=\"fr\">") == "fr"
+    assert declared("<!-- <html lang='de'> --><script>'<html lang=es>'</script><html lang='en'>") == "en"
+    assert declared("<!--[if gt IE 8]><!--><html lang=it><!--<![endif]-->") == "it" == declared("<!--><html lang=it>-->")
+    assert declared("<html><body><p lang='de'>") is None is declared("<html data-x=' lang=de'>")
+    assert declared("<html><html lang='' xml:lang='sv'>") == "sv" and declared("<html lang='nl") == "nl"
+    assert declared("<html a=\">\" " * 100_000) is None  # in one pass
+    assert language_id.visible_text("a<!-->b<!-- c -->d") == "abd"
+
+
 # ---------------------------------------------------------------- URLs (7)
 
 
