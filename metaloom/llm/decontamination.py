@@ -15,6 +15,10 @@ its answer (the rest) occur around the passage: in the passage and, on both side
 the item, which is the item's own length at least. What the passages that retrieve segments of one item have around
 them counts together; an item of one segment must be found around one passage.
 
+An item of fewer than ``LEAST_WORDS`` words is a leak where all its words follow each other in a passage.
+
+*Words* are runs of letters and digits; in scripts that put no spaces between words, every character is one.
+
 Documents stay where they are: no shuffle. The index of one part of the items (``POSTINGS`` postings at most on average)
 is sent to the tasks; more items make more parts, each searched in its own pass.
 """
@@ -26,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,28 +43,40 @@ BLOCK = 16
 #: share of three-word runs of the question and of the answer that must occur
 OVERLAP = 0.5
 RUN = 3
-#: an item with fewer words says too little to be recognised and is never reported
+#: an item with fewer words is looked for as a whole
 LEAST_WORDS = 5
 POSTINGS = 2_000_000
 
 _inside = np.zeros(256, bool)
 _inside[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = True
 _inside[0x80:] = True
+_marks = r"[\p{P}\p{S}\p{Z}\x{200B}]"
+_unspaced = r"([\p{Han}\p{Hiragana}\p{Katakana}\x{30FC}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])"
+
+
+def _spaced(column: pa.Array) -> pa.Array:
+    """Texts in lower case, with spaces for all marks and around each character of scripts that have none between words."""
+    text = lowered(column)
+    plain = pc.string_is_ascii(text)
+    if pc.all(plain, min_count=0).as_py():
+        return text
+    other = pc.replace_substring_regex(pc.replace_substring_regex(text.filter(pc.invert(plain)), _marks, " "), _unspaced, r" \1 ")
+    return pc.replace_with_mask(text, pc.invert(plain), other)
 
 
 def _segments(items: DataFrame) -> DataFrame:
-    """item_id, seg, words, terms, tf of every segment, and the runs of question and answer (on segment 0)."""
+    """item_id, seg, words, terms, tf of every segment, the runs of question and answer, and all words in order of an item that has few."""
     kind = dict(items.select("item_id").dtypes)["item_id"]
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            data, offsets = buffers(lowered(frame.column(1)))
+            data, offsets = buffers(_spaced(frame.column(1)))
             rows, _, hashed = runs(data, offsets, _inside)
             at = np.searchsorted(rows, np.arange(frame.num_rows + 1))
-            out: dict[str, list] = {k: [] for k in ("item_id", "seg", "words", "terms", "tf", "question", "answer")}
+            out: dict[str, list] = {k: [] for k in ("item_id", "seg", "words", "terms", "tf", "question", "answer", "exact")}
             for k, item in enumerate(frame.column(0).to_pylist()):
                 own = hashed[at[k] : at[k + 1]]
-                if len(own) < LEAST_WORDS or item is None:
+                if len(own) == 0 or item is None:
                     continue
                 parts = -(-len(own) // SEGMENT)
                 cut = -(-2 * len(own) // 3)
@@ -67,12 +84,13 @@ def _segments(items: DataFrame) -> DataFrame:
                     terms, tf = np.unique(part, return_counts=True)
                     one = np.zeros(len(own), np.int64)
                     ask, reply = (np.unique(shingles(one[: len(w)], w, RUN)[1]).view(np.int64) for w in (own[:cut], own[cut:]))
-                    for name, value in zip(out, (item, seg, len(part), terms.view(np.int64), tf.astype(np.int64), ask, reply)):
+                    exact = (own if len(own) < LEAST_WORDS else own[:0]).view(np.int64)
+                    for name, value in zip(out, (item, seg, len(part), terms.view(np.int64), tf.astype(np.int64), ask, reply, exact)):
                         out[name].append(value)
             types = {"item_id": frame.schema.field(0).type, "seg": pa.int32(), "words": pa.int64()}
             yield pa.RecordBatch.from_arrays([pa.array(v, types.get(n, pa.list_(pa.int64()))) for n, v in out.items()], list(out))
 
-    return items.select("item_id", "text").mapInArrow(tidy(batches), f"item_id {kind}, seg int, words long, terms array<long>, tf array<long>, question array<long>, answer array<long>")
+    return items.select("item_id", "text").mapInArrow(tidy(batches), f"item_id {kind}, seg int, words long, terms array<long>, tf array<long>, question array<long>, answer array<long>, exact array<long>")
 
 
 @dataclass(frozen=True)
@@ -88,6 +106,7 @@ class Index:
     question: list[np.ndarray]
     answer: list[np.ndarray]
     parts: np.ndarray  # of each segment: how many its item has
+    exact: list[np.ndarray]  # of each segment: the words of its item, if they are few
 
     @property
     def blocks(self) -> int:
@@ -95,7 +114,7 @@ class Index:
 
 
 def build(rows: list, threshold: float = THRESHOLD) -> Index:
-    """From rows (item_id, seg, words, terms, impacts, question, answer); impacts aren't normalised yet."""
+    """From rows (item_id, seg, words, terms, impacts, question, answer, exact); impacts aren't normalised yet."""
     n = len(rows)
     term = np.concatenate([np.array(r["terms"], np.int64) for r in rows]).view(np.uint64) if n else np.zeros(0, np.uint64)
     segment = np.repeat(np.arange(n), [len(r["terms"]) for r in rows]) if n else np.zeros(0, np.int64)
@@ -121,7 +140,7 @@ def build(rows: list, threshold: float = THRESHOLD) -> Index:
     return Index(
         [r["item_id"] for r in rows], terms, keys, impacts, block_keys, block_max, np.searchsorted(number[strong], np.arange(len(terms) + 1)), segment[strong],
         [np.array(r["question"], np.int64).view(np.uint64) for r in rows], [np.array(r["answer"], np.int64).view(np.uint64) for r in rows],
-        np.array([parts[r["item_id"]] for r in rows], np.int64),
+        np.array([parts[r["item_id"]] for r in rows], np.int64), [np.array(r["exact"], np.int64).view(np.uint64) for r in rows],
     )
 
 
@@ -204,6 +223,8 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float
         if index.parts[si] == 1 and len(near[0]) >= 2:  # answers of one or two words are looked for as such
             found = np.concatenate([found, *(_short(near[0], c) for c in (1, 2))])
         q, a = (float(np.isin(x[si], found).mean()) if len(x[si]) else 1.0 for x in (index.question, index.answer))
+        if len(index.exact[si]):
+            q = a = float(_holds(hashed[first_word[row] + part * half : min(first_word[row + 1], first_word[row] + part * half + PASSAGE)], index.exact[si]))
         if q >= OVERLAP and a >= OVERLAP:
             new = (row, int(si), part, float(sc), q, a)
             if (row, item) not in best or best[row, item][3] < sc:
@@ -222,6 +243,11 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _holds(words: np.ndarray, wanted: np.ndarray) -> bool:
+    n = len(words) - len(wanted) + 1
+    return n > 0 and bool(np.all([words[k : k + n] == w for k, w in enumerate(wanted)], 0).any())
+
+
 def _short(near: np.ndarray, c: int) -> np.ndarray:
     """Hashes of all sequences of ``c`` words as ``shingles`` gives them to texts that are no longer."""
     n = len(near) - c + 1
@@ -240,8 +266,8 @@ def indexes(items: DataFrame, threshold: float = THRESHOLD) -> list[Index]:
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / mean))
     scored = flat.join(df, "term").groupBy("item_id", "seg").agg(F.array_sort(F.collect_list(F.struct("term", weight.alias("impact")))).alias("p"))  # SEGMENT terms at most
-    full = rows.select("item_id", "seg", "words", "question", "answer").join(scored, ["item_id", "seg"])
-    full = full.select("item_id", "seg", "words", "question", "answer", F.col("p.term").alias("terms"), F.col("p.impact").alias("impacts"))
+    full = rows.select("item_id", "seg", "words", "question", "answer", "exact").join(scored, ["item_id", "seg"])
+    full = full.select("item_id", "seg", "words", "question", "answer", "exact", F.col("p.term").alias("terms"), F.col("p.impact").alias("impacts"))
     parts = -(-postings // POSTINGS)
     out = []
     for k in range(parts):
@@ -254,7 +280,7 @@ def indexes(items: DataFrame, threshold: float = THRESHOLD) -> list[Index]:
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, passage, score, question_overlap, answer_overlap: a row for each document row and item that leaks into it.
 
-    Rows without text or without leaks give none; so do items with fewer than ``LEAST_WORDS`` words. Repeated rows are
+    Rows without text or without leaks give none; so do items without words. Repeated rows are
     reported each; repeated items count once for each document.
     """
     spark = docs.sparkSession
@@ -267,7 +293,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
         def batches(frames: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for frame in frames:
-                data, offsets = buffers(lowered(frame.column(1)))
+                data, offsets = buffers(_spaced(frame.column(1)))
                 for i, j in slices(offsets):
                     got = search(index, data, offsets[i : j + 1], threshold)
                     ids = frame.column(0).take(pa.array([i + g[0] for g in got], pa.int64()))
@@ -289,7 +315,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
 
         def batches(frames: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for frame in frames:
-                data, offsets = buffers(lowered(frame.column(frame.schema.get_field_index("text"))))
+                data, offsets = buffers(_spaced(frame.column(frame.schema.get_field_index("text"))))
                 keep = np.ones(frame.num_rows, bool)
                 for i, j in slices(offsets):
                     for got in search(sent.value, data, offsets[i : j + 1], threshold):

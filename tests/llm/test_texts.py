@@ -117,6 +117,19 @@ def test_leaks_of_long_items(spark):
     assert {x.doc_id for x in decontamination.drop_leaks(docs_table, items_table).collect()} == {k for k, _ in docs} - {k for k, _ in wanted}
 
 
+def test_leaks_of_short_items_and_of_scripts_without_spaces(spark):
+    chinese, thai = "床前明月光，疑是地上霜。举头望明月，低头思故乡。", "สวัสดีครับวันนี้อากาศดีมาก"
+    items = [(1, chinese), (2, thai), (3, "zuk vor"), (4, "Kwyjibo"), (5, "one two three four"), (6, "…"), (7, "“quoted” words—and more of them here")]
+    docs = [
+        f"前言{chinese}后记", f"a {chinese.replace('，', ' ')} b", f"ก{thai}ข", "a zuk, vor b", "vor zuk", "zuk a vor", "the KWYJIBO!", "x one two three four y",
+        "one two three x two three four", "two three four one", "明月是故乡的月光", "x 'quoted' words and more of them here y", "", None, "… . …",
+    ]
+    wanted = {(0, 1), (1, 1), (2, 2), (3, 3), (6, 4), (7, 5), (11, 7)}
+    docs_table, items_table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontamination.find_leaks(docs_table, items_table).collect()} == wanted
+    assert {x.doc_id for x in decontamination.drop_leaks(docs_table, items_table).collect()} == set(range(len(docs))) - {k for k, _ in wanted}
+
+
 def test_pruned_search_finds_all_scores_above_the_threshold(spark):
     r = random.Random(9)
     items = spark.createDataFrame([(k, prose(r, 30)) for k in range(60)], "item_id long, text string")
