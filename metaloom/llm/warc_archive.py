@@ -246,7 +246,7 @@ class Reader:
             while 0 <= k <= len(held) - 3:
                 self.stream.seek(at + k)
                 try:
-                    begins = zlib.decompressobj(31).decompress(self.stream.read(self.chunk), 7) == b"WARC/1."
+                    begins = zlib.decompressobj(31).decompress(self.stream.read(4096), 7) == b"WARC/1."
                 except zlib.error:
                     begins = False
                 if begins:
