@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metaloom.llm import decontamination, ego_join, jaccard_join, language_id, pii_tagger, piece_sampling, sharding, token_counts, toxicity, url_filter, warc_archive
+from metaloom.llm import decontamination, ego_join, jaccard_join, language_id, periodic_runs, pii_tagger, piece_sampling, sharding, token_counts, toxicity, url_filter, warc_archive
 
 #: (host, path, verdict) as the query's contract fixes them
 URL_RULES = [
@@ -58,6 +58,10 @@ def op10_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego_join.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.summarise_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
 def op13_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_ego_join": op10_ego_join,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_warc_archive": op13_warc_archive,
 }
 
