@@ -14,7 +14,7 @@ depends neither on partitions nor on batches, and a lost task repeats it.
 The model's scores are ranks of BPE merges, no probabilities: piece probabilities follow Zipf's law over these ranks,
 p(rank) ~ 1 / (rank + ZIPF_SHIFT), and a byte piece has that of the last rank.
 
-Decoding joins the pieces; bytes and characters of the normalised text come back exactly.
+Decoding joins the pieces; the bytes of the text come back exactly, those of a literal U+2581 too.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ SLICE = 1 << 17
 LONG = 96
 
 _ratio = np.uint64(0x9E3779B97F4A7C15)
+#: stands for a literal U+2581 of a text, so that it isn't taken for a space: no UTF-8 text holds a surrogate
+MARK = "\ud800"
 
 
 class Lattice:
@@ -261,7 +263,7 @@ def sample_rows(lat: Lattice, texts: list[str], seeds: np.ndarray) -> tuple[np.n
         while j < len(texts) and (j == i or size + len(texts[j]) < SLICE):
             size += len(texts[j]) + 1
             j += 1
-        whole = "".join(SPACE + t.replace(" ", SPACE) if t else "" for t in texts[i:j])
+        whole = "".join(SPACE + t.replace(SPACE, MARK).replace(" ", SPACE) if t else "" for t in texts[i:j])
         if whole:
             codes = points(whole)
             lengths = np.array([len(t) + 1 if t else 0 for t in texts[i:j]])
@@ -294,7 +296,8 @@ def _bytes(vocab: Vocabulary, codes: np.ndarray, ids: np.ndarray) -> tuple[np.nd
     out = np.repeat(ids, n)
     at = np.concatenate([[0], np.cumsum(n)])
     for k in np.flatnonzero(ids < 0):
-        out[at[k] : at[k + 1]] = vocab.byte_ids[list(chr(codes[k]).encode("utf-8", "surrogatepass"))]
+        letter = chr(codes[k])
+        out[at[k] : at[k + 1]] = vocab.byte_ids[list((SPACE if letter == MARK else letter).encode("utf-8", "surrogatepass"))]
     return out, n
 
 
@@ -324,16 +327,11 @@ def _seeds(keys: np.ndarray, seed: int) -> np.ndarray:
     return mix(keys.view(np.uint64) ^ mix(np.array([seed], np.uint64)))
 
 
-def _normal(text: str | None) -> bytes:
-    """What decoding gives back: U+2581 in a text can't be told from a space."""
-    return (text or "").replace(SPACE, " ").encode("utf-8", "surrogatepass")
-
-
 def encode_documents(docs: DataFrame, model: str | None = None, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
     """doc_id, n_pieces, ids, crc32 of the text, decoded_crc32 and ``lossless`` (the decoded bytes are those of the text).
 
-    One row for each row; a null or empty text has no pieces. A text that holds U+2581 itself decodes with spaces in
-    its place, as the library does, and is lossless up to that. Rows with one key and text get one segmentation.
+    One row for each row; a null or empty text has no pieces. A literal U+2581 is given as its three bytes, as a space is
+    a piece's U+2581. Rows with one key and text get one segmentation.
     """
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
 
@@ -350,7 +348,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, alpha: float = A
                     j += 1
                 ids, n = sample_rows(lat, texts[i:j], seeds[i:j])
                 back = decode_rows(lat.vocab, ids, n)
-                wanted = [_normal(t) for t in texts[i:j]]
+                wanted = [t.encode("utf-8", "surrogatepass") for t in texts[i:j]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         frame.column(0).slice(i, j - i), pa.array(n, pa.int64()), list_array(ids.astype(np.int32), n),

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -89,7 +90,8 @@ def test_rows_encode_and_decode(spark):
     rows = {r.doc_id: r for r in out.collect()}
     assert all(r.lossless and len(r.ids) == r.n_pieces for r in rows.values()) and rows[0].n_pieces == 0
     back = {r.doc_id: r.text for r in piece_sampling.decode_documents(out).collect()}
-    assert back == {k: (t or "").replace("▁", " ") for k, t in enumerate(texts)}
+    assert back == {k: t or "" for k, t in enumerate(texts)}
+    assert {k: r.text_crc32 for k, r in rows.items()} == {k: zlib.crc32((t or "").encode()) for k, t in enumerate(texts)}
     again = {r.doc_id: r.ids for r in piece_sampling.encode_documents(docs.repartition(3)).collect()}
     assert again == {k: r.ids for k, r in rows.items()}
     other = {r.doc_id: r.ids for r in piece_sampling.encode_documents(docs, seed=1).collect()}
