@@ -35,7 +35,7 @@ from metaloom.llm.text import list_array, mix, tidy
 ALPHA = 1.0
 ZIPF_SHIFT = 2.7
 #: characters handled at once; longer rows are split at proven boundaries
-SLICE = 1 << 17
+SLICE = 1 << 18
 #: longer segments are filtered one by one, in logarithms
 LONG = 96
 
@@ -59,29 +59,28 @@ class Lattice:
         self.per_char = -float(np.mean(self.log_w[[i for _, i in vocab.words]])) / 4
         rng = np.random.default_rng(7)
         self.code = rng.integers(0, 1 << 62, vocab.size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        hashed = np.array([self.hash(vocab.classes[[ord(c) for c in text]]) for text, _ in vocab.words], np.uint64)
+        sizes = np.array([len(text) for text, _ in vocab.words])
+        table = np.zeros((len(sizes), vocab.longest), np.uint16)
+        table[np.arange(vocab.longest) < sizes[:, None]] = vocab.classes[points("".join(text for text, _ in vocab.words))]
+        hashed, h = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
+        self.longer = np.zeros(1 << 22, bool)  # what may be the beginning of a longer piece
+        for k in range(vocab.longest):
+            h = h * _ratio + self.code[table[:, k]]
+            full = mix(h)
+            hashed[sizes == k + 1] = full[sizes == k + 1]
+            self.longer[(full[sizes > k + 1] >> np.uint64(42)).astype(np.int64)] = True
         order = np.argsort(hashed)
-        self.hashes, self.ids = hashed[order], np.array([i for _, i in vocab.words], np.int64)[order]
+        self.hashes, self.ids, self.text = hashed[order], np.array([i for _, i in vocab.words], np.int64)[order], table[order]
         if len(np.unique(self.hashes)) < len(self.hashes):
             raise ValueError("two pieces share a hash")
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-        self.text = np.zeros((len(self.ids), vocab.longest), np.uint16)
-        for k, i in enumerate(self.ids):
-            c = vocab.classes[points(vocab.model.id_to_piece(int(i)))]
-            self.text[k, : len(c)] = c
         self.segments = Segments(self)
         self.single = np.full(vocab.size, -1, np.int64)
         for text, i in vocab.words:
             if len(text) == 1:
                 self.single[vocab.classes[ord(text)]] = i
 
-    def hash(self, classes: np.ndarray) -> np.uint64:
-        h = np.zeros(1, np.uint64)
-        for c in classes:
-            h = h * _ratio + self.code[c]
-        return mix(h)[0]
-
     def edges(self, classes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, id) of every piece in a flat run of segments; ``ends``: for each position the end of its segment."""
         at, h = np.arange(len(classes)), np.zeros(len(classes), np.uint64)
@@ -105,6 +104,8 @@ class Lattice:
             for j in range(length):
                 same &= self.text[k, j] == classes[at[some] + j]
             found.append((at[some][same], np.full(int(same.sum()), length), self.ids[k[same]]))
+            goes = self.longer[(full >> np.uint64(42)).astype(np.int64)]
+            at, h = at[goes], h[goes]
         starts, lengths, ids = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
         # a character without a piece of its own is given as bytes
         bare = np.flatnonzero(self.single[classes] < 0)
@@ -121,12 +122,13 @@ def _n_bytes(codes: np.ndarray) -> np.ndarray:
 
 
 class Segments:
-    """Filtered lattices of the distinct segments met so far, all in flat arrays; emptied when they grow too large.
+    """Filtered lattices of the distinct segments met so far, all in flat arrays of at most ``MOST_BYTES`` and a slice.
 
-    The incoming edges of a node lie together, the heaviest first; ``below`` is the cumulative share within the node.
+    When they grow larger, those used most often stay, up to half of the bytes. The incoming edges of a node lie together, the
+    heaviest first; ``below`` is the cumulative share within the node.
     """
 
-    MOST_EDGES = 1_000_000
+    MOST_BYTES = 32 << 20
 
     def __init__(self, lat: Lattice):
         self.lat = lat
@@ -137,11 +139,41 @@ class Segments:
         self.codes, self.base = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         self.first, self.below = np.zeros(0, np.int32), np.zeros(0)
         self.length, self.id = np.zeros(0, np.int16), np.zeros(0, np.int32)
+        self.used = np.zeros(0, np.int64)
+
+    def _arrays(self) -> tuple[np.ndarray, ...]:
+        return self.hashes, self.number, self.codes, self.base, self.first, self.below, self.length, self.id, self.used
+
+    def shrink(self, most: int) -> None:
+        """Keep the lattices used most often, in ``most`` bytes at most, and begin to count their use anew."""
+        n = len(self.base)
+        sizes = np.diff(np.append(self.base, len(self.codes)))
+        roots = self.base + np.arange(n)
+        # nodes of a segment lie together, and so do its edges: from the first edge of its first node on
+        heads = self.first[roots + 1]
+        edges = np.diff(np.append(heads, len(self.id)))
+        cost = 48 + 12 * sizes + 14 * edges
+        keep = np.zeros(n, bool)
+        order = np.argsort(-self.used, kind="stable")
+        keep[order[np.cumsum(cost[order]) <= most]] = True
+        kept = np.flatnonzero(keep)
+        by_number = np.empty(n, np.uint64)
+        by_number[self.number] = self.hashes
+        hashes = by_number[kept]
+        nodes, own, lines = (np.repeat(keep, x) for x in (sizes + 1, sizes, edges))
+        moved = np.cumsum(edges * keep) - edges * keep - heads  # what a kept segment's edges move by
+        first = self.first[nodes]
+        first = np.where(first >= 0, first + np.repeat(moved[kept], sizes[kept] + 1), -1).astype(np.int32)
+        order = np.argsort(hashes)
+        self.hashes, self.number = hashes[order], order
+        self.codes, self.base = self.codes[own], np.cumsum(sizes[kept]) - sizes[kept]
+        self.first, self.below, self.length, self.id = first, self.below[lines], self.length[lines], self.id[lines]
+        self.used = np.zeros(len(kept), np.int64)
 
     def numbers(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The number of each segment's lattice; those not met before are filtered first."""
-        if len(self.id) > self.MOST_EDGES:
-            self.clear()
+        if sum(x.nbytes for x in self._arrays()) > self.MOST_BYTES:
+            self.shrink(self.MOST_BYTES // 2)
         classes = self.lat.vocab.classes[codes]
         keys = np.where(classes > 0, self.lat.code[classes], codes.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
         within = np.arange(len(codes)) - np.repeat(starts, sizes)
@@ -159,6 +191,7 @@ class Segments:
         numbers = self.number[at]
         if not np.array_equal(self.codes[np.repeat(self.base[numbers], sizes) + within], codes):
             raise ValueError("two segments share a hash")
+        self.used += np.bincount(numbers, minlength=len(self.used))
         return numbers
 
     def _add(self, hashed: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
@@ -174,6 +207,7 @@ class Segments:
         self.first = np.concatenate([self.first, np.where(first >= 0, first + n_edges, -1).astype(np.int32)])
         self.below, self.length = np.concatenate([self.below, below]), np.concatenate([self.length, length.astype(np.int16)])
         self.id = np.concatenate([self.id, ids.astype(np.int32)])
+        self.used = np.concatenate([self.used, np.zeros(len(hashed), np.int64)])
 
     def _filtered(self, codes: np.ndarray, base: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
         """Forward filter; node of position p of segment s: base[s] + s + p."""

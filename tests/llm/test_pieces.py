@@ -54,7 +54,7 @@ def test_samples_decode_to_the_text_and_depend_on_the_key_alone(lat):
     texts = [odd_text(r) for _ in range(60)] + ["", " ", "x" * 700, "the " * 100]
     seeds = piece_sampling._seeds(np.arange(len(texts), dtype=np.int64), 0)
     ids, n = piece_sampling.sample_rows(lat, texts, seeds)
-    assert piece_sampling.decode_rows(lat.vocab, ids, n) == [piece_sampling._normal(t) for t in texts]
+    assert piece_sampling.decode_rows(lat.vocab, ids, n) == [(t or "").encode() for t in texts]
     alone = [piece_sampling.sample_rows(lat, [t], seeds[k : k + 1])[0].tolist() for k, t in enumerate(texts)]
     assert sum(alone, []) == ids.tolist()
 
@@ -76,6 +76,23 @@ def test_samples_follow_the_distribution_of_all_segmentations(lat):
         assert abs(seen[s] / draws - w / total) < 5 * math.sqrt(w / total / draws) + 1e-3
 
 
+def test_cache_keeps_what_is_used_most_and_changes_no_sample(vocab):
+    r = random.Random(9)
+    words = ["the", "of", "and"] + ["".join(r.choices("abcdeé日▁", k=r.randint(1, 20))) for _ in range(3000)]
+    texts = [" ".join(r.choice(words[:3]) if r.random() < 0.5 else r.choice(words) for _ in range(40)) for _ in range(400)]
+    seeds = piece_sampling._seeds(np.arange(400, dtype=np.int64), 2)
+    free, tight = piece_sampling.Lattice(vocab, 1.0), piece_sampling.Lattice(vocab, 1.0)
+    tight.segments.MOST_BYTES = 60_000
+    want = piece_sampling.sample_rows(free, texts, seeds)
+    for i in range(0, 400, 20):
+        ids, n = piece_sampling.sample_rows(tight, texts[i : i + 20], seeds[i : i + 20])
+        at = int(want[1][:i].sum())
+        assert np.array_equal(n, want[1][i : i + 20]) and np.array_equal(ids, want[0][at : at + len(ids)])
+        assert piece_sampling.decode_rows(vocab, ids, n) == [t.encode() for t in texts[i : i + 20]]
+    tight.segments.shrink(30_000)
+    assert 0 < len(tight.segments.base) < len(free.segments.base)
+
+
 def test_long_segments_are_filtered_like_short_ones(lat):
     text = "internationalisation" * 8  # longer than LONG
     ids, n = piece_sampling.sample_rows(lat, [text] * 50, piece_sampling._seeds(np.arange(50, dtype=np.int64), 1))
