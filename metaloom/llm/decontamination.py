@@ -33,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from metaloom.llm.text import buffers, lowered, runs, shingles, slices, tidy
 
@@ -65,7 +66,10 @@ def _spaced(column: pa.Array) -> pa.Array:
 
 
 def _segments(items: DataFrame) -> DataFrame:
-    """item_id, seg, words, terms, tf of every segment, the runs of question and answer, and all words in order of an item that has few."""
+    """key, item_id, seg, words, terms, tf of every segment, the runs of question and answer, and all words in order of an item that has few.
+
+    A key stands for an id with one of its texts: repeated rows have one, an id with two texts has two.
+    """
     kind = dict(items.select("item_id").dtypes)["item_id"]
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,29 +77,33 @@ def _segments(items: DataFrame) -> DataFrame:
             data, offsets = buffers(_spaced(frame.column(1)))
             rows, _, hashed = runs(data, offsets, _inside)
             at = np.searchsorted(rows, np.arange(frame.num_rows + 1))
-            out: dict[str, list] = {k: [] for k in ("item_id", "seg", "words", "terms", "tf", "question", "answer", "exact")}
-            for k, item in enumerate(frame.column(0).to_pylist()):
+            out: dict[str, list] = {k: [] for k in ("key", "item_id", "seg", "words", "terms", "tf", "question", "answer", "exact")}
+            for k, (item, key) in enumerate(zip(frame.column(0).to_pylist(), frame.column(2).to_pylist(), strict=True)):
                 own = hashed[at[k] : at[k + 1]]
                 if len(own) == 0 or item is None:
                     continue
                 parts = -(-len(own) // SEGMENT)
                 cut = -(-2 * len(own) // 3)
+                one, none = np.zeros(len(own), np.int64), np.zeros(0, np.int64)
+                ask, reply = (np.unique(shingles(one[: len(w)], w, RUN)[1]).view(np.int64) for w in (own[:cut], own[cut:]))
+                exact = (own if len(own) < LEAST_WORDS else own[:0]).view(np.int64)
                 for seg, part in enumerate(np.array_split(own, parts)):
                     terms, tf = np.unique(part, return_counts=True)
-                    one = np.zeros(len(own), np.int64)
-                    ask, reply = (np.unique(shingles(one[: len(w)], w, RUN)[1]).view(np.int64) for w in (own[:cut], own[cut:]))
-                    exact = (own if len(own) < LEAST_WORDS else own[:0]).view(np.int64)
-                    for name, value in zip(out, (item, seg, len(part), terms.view(np.int64), tf.astype(np.int64), ask, reply, exact)):
+                    if seg:  # its first segment has them for the whole item
+                        ask = reply = exact = none
+                    for name, value in zip(out, (key, item, seg, len(part), terms.view(np.int64), tf.astype(np.int64), ask, reply, exact)):
                         out[name].append(value)
-            types = {"item_id": frame.schema.field(0).type, "seg": pa.int32(), "words": pa.int64()}
+            types = {"key": pa.int64(), "item_id": frame.schema.field(0).type, "seg": pa.int32(), "words": pa.int64()}
             yield pa.RecordBatch.from_arrays([pa.array(v, types.get(n, pa.list_(pa.int64()))) for n, v in out.items()], list(out))
 
-    return items.select("item_id", "text").mapInArrow(tidy(batches), f"item_id {kind}, seg int, words long, terms array<long>, tf array<long>, question array<long>, answer array<long>, exact array<long>")
+    distinct = items.select("item_id", "text").distinct().withColumn("key", F.xxhash64("item_id", "text"))
+    return distinct.mapInArrow(tidy(batches), f"key long, item_id {kind}, seg int, words long, terms array<long>, tf array<long>, question array<long>, answer array<long>, exact array<long>")
 
 
 @dataclass(frozen=True)
 class Index:
-    item: list  # of each segment
+    item: list  # the id of each segment's item
+    key: list  # and its key, see _segments
     terms: np.ndarray  # sorted hashes
     keys: np.ndarray  # term * segments + segment, sorted
     impacts: np.ndarray
@@ -114,7 +122,7 @@ class Index:
 
 
 def build(rows: list, threshold: float = THRESHOLD) -> Index:
-    """From rows (item_id, seg, words, terms, impacts, question, answer, exact); impacts aren't normalised yet."""
+    """From rows (key, item_id, seg, words, terms, impacts, question, answer, exact); impacts aren't normalised yet."""
     n = len(rows)
     term = np.concatenate([np.array(r["terms"], np.int64) for r in rows]).view(np.uint64) if n else np.zeros(0, np.uint64)
     segment = np.repeat(np.arange(n), [len(r["terms"]) for r in rows]) if n else np.zeros(0, np.int64)
@@ -135,12 +143,12 @@ def build(rows: list, threshold: float = THRESHOLD) -> Index:
     strong = by[cum >= threshold - 1e-9]
     strong = strong[np.argsort(number[strong], kind="stable")]
     parts: dict = {}
+    whole = {r["key"]: [np.array(r[x], np.int64).view(np.uint64) for x in ("question", "answer", "exact")] for r in rows if r["seg"] == 0}
     for r in rows:
-        parts[r["item_id"]] = max(parts.get(r["item_id"], 0), r["seg"] + 1)
+        parts[r["key"]] = max(parts.get(r["key"], 0), r["seg"] + 1)
     return Index(
-        [r["item_id"] for r in rows], terms, keys, impacts, block_keys, block_max, np.searchsorted(number[strong], np.arange(len(terms) + 1)), segment[strong],
-        [np.array(r["question"], np.int64).view(np.uint64) for r in rows], [np.array(r["answer"], np.int64).view(np.uint64) for r in rows],
-        np.array([parts[r["item_id"]] for r in rows], np.int64), [np.array(r["exact"], np.int64).view(np.uint64) for r in rows],
+        [r["item_id"] for r in rows], [r["key"] for r in rows], terms, keys, impacts, block_keys, block_max, np.searchsorted(number[strong], np.arange(len(terms) + 1)), segment[strong],
+        [whole[r["key"]][0] for r in rows], [whole[r["key"]][1] for r in rows], np.array([parts[r["key"]] for r in rows], np.int64), [whole[r["key"]][2] for r in rows],
     )
 
 
@@ -209,10 +217,11 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float
     for pi, si, sc in zip(whose[p[good]].tolist(), s[good].tolist(), score[good].tolist()):
         row = int(np.searchsorted(halves, pi, "right") - 1)
         part = int(pi - halves[row])
-        together.setdefault((row, index.item[si], part if index.parts[si] == 1 else None), []).append((sc, part, si))
+        together.setdefault((row, index.key[si], part if index.parts[si] == 1 else None), []).append((sc, part, si))
     best: dict[tuple, tuple[int, int, int, float, float, float]] = {}
-    for (row, item, _), got in together.items():
+    for (row, _, _), got in together.items():
         sc, part, si = max(got, key=lambda x: x[0])
+        item = index.item[si]
         margin = half * int(index.parts[si])
         near, stretch = [], []
         for low, high in _joined(sorted((k * half - margin, k * half + PASSAGE + margin) for k in {x[1] for x in got})):
@@ -255,35 +264,34 @@ def _short(near: np.ndarray, c: int) -> np.ndarray:
     return shingles(np.repeat(np.arange(n), c), flat, RUN)[1]
 
 
-def indexes(items: DataFrame, threshold: float = THRESHOLD) -> list[Index]:
+def indexes(items: DataFrame, threshold: float = THRESHOLD) -> Iterator[Index]:
     """One index, or several of ``POSTINGS`` postings at most on average; statistics cover all items."""
     rows = _segments(items)
-    flat = rows.select("item_id", "seg", "words", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select("item_id", "seg", "words", F.col("t.terms").alias("term"), F.col("t.tf").alias("tf"))
+    flat = rows.select("key", "seg", "words", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select("key", "seg", "words", F.col("t.terms").alias("term"), F.col("t.tf").alias("tf"))
     n, mean, postings = rows.agg(F.count(F.lit(1)), F.avg("words"), F.sum(F.size("terms"))).first()
     if not n:
-        return []
+        return
     df = flat.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / mean))
-    scored = flat.join(df, "term").groupBy("item_id", "seg").agg(F.array_sort(F.collect_list(F.struct("term", weight.alias("impact")))).alias("p"))  # SEGMENT terms at most
-    full = rows.select("item_id", "seg", "words", "question", "answer", "exact").join(scored, ["item_id", "seg"])
-    full = full.select("item_id", "seg", "words", "question", "answer", "exact", F.col("p.term").alias("terms"), F.col("p.impact").alias("impacts"))
+    scored = flat.join(df, "term").groupBy("key", "seg").agg(F.array_sort(F.collect_list(F.struct("term", weight.alias("impact")))).alias("p"))  # SEGMENT terms at most
+    full = rows.select("key", "item_id", "seg", "words", "question", "answer", "exact").join(scored, ["key", "seg"])
+    full = full.select("key", "item_id", "seg", "words", "question", "answer", "exact", F.col("p.term").alias("terms"), F.col("p.impact").alias("impacts"))
     parts = -(-postings // POSTINGS)
-    out = []
-    for k in range(parts):
+    for k in range(parts):  # all texts of one id lie in one part
         part = full.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else full
-        found = sorted(part.collect(), key=lambda r: (r["item_id"], r["seg"]))
-        out.append(build(found, threshold))
-    return out
+        found = sorted(part.collect(), key=lambda r: (r["key"], r["seg"]))
+        yield build(found, threshold)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, passage, score, question_overlap, answer_overlap: a row for each document row and item that leaks into it.
 
-    Rows without text or without leaks give none; so do items without words. Repeated rows are
-    reported each; repeated items count once for each document.
+    Rows without text or without leaks give none; so do items without words or id. Repeated rows are reported each; repeated
+    items count once for each document, and an id with several texts leaks if one of them does.
     """
     spark = docs.sparkSession
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
     kinds = dict(docs.select("doc_id").dtypes)["doc_id"], dict(items.select("item_id").dtypes)["item_id"]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, passage int, score double, question_overlap double, answer_overlap double"
     out = None
@@ -298,7 +306,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
                     got = search(index, data, offsets[i : j + 1], threshold)
                     ids = frame.column(0).take(pa.array([i + g[0] for g in got], pa.int64()))
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array([index.item[g[1]] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int32()), *(pa.array([g[k] for g in got], pa.float64()) for k in (3, 4, 5))],
+                        [ids, pa.array([index.item[g[1]] for g in got], item_type), pa.array([g[2] for g in got], pa.int32()), *(pa.array([g[k] for g in got], pa.float64()) for k in (3, 4, 5))],
                         ["doc_id", "item_id", "passage", "score", "question_overlap", "answer_overlap"],
                     )
 

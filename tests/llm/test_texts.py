@@ -117,6 +117,21 @@ def test_leaks_of_long_items(spark):
     assert {x.doc_id for x in decontamination.drop_leaks(docs_table, items_table).collect()} == {k for k, _ in docs} - {k for k, _ in wanted}
 
 
+def test_repeated_items_ids_with_two_texts_and_ids_of_other_types(spark):
+    r = random.Random(12)
+    one, two, huge = prose(r, 30), prose(r, 25), " ".join(f"{prose(r, 1)}{k}" for k in range(10_000))
+    docs = spark.createDataFrame([(1, f"{prose(r, 50)} {one} {prose(r, 20)}"), (2, f"{prose(r, 90)} {two}"), (3, prose(r, 200)), (4, huge)], "doc_id long, text string")
+    items = [("a", one), ("a", one), ("a", one), ("b", two), ("b", prose(r, 40)), ("c", huge), (None, one), ("d", None)]
+    table = spark.createDataFrame(items, "item_id string, text string")
+    got = sorted((x.doc_id, x.item_id) for x in decontamination.find_leaks(docs, table).collect())
+    assert got == [(1, "a"), (2, "b"), (4, "c")]
+    assert [x.doc_id for x in decontamination.drop_leaks(docs, table).collect()] == [3]
+    for kind in ("short", "decimal(20,0)", "date"):
+        cast = spark.createDataFrame([(1, one), (1, one)], "i int, text string").selectExpr(f"cast({'date_from_unix_date(i)' if kind == 'date' else 'i'} as {kind}) as item_id", "text")
+        found = decontamination.find_leaks(docs, cast)
+        assert [x.doc_id for x in found.collect()] == [1] and dict(found.dtypes)["item_id"] == dict(cast.dtypes)["item_id"]
+
+
 def test_leaks_of_short_items_and_of_scripts_without_spaces(spark):
     chinese, thai = "床前明月光，疑是地上霜。举头望明月，低头思故乡。", "สวัสดีครับวันนี้อากาศดีมาก"
     items = [(1, chinese), (2, thai), (3, "zuk vor"), (4, "Kwyjibo"), (5, "one two three four"), (6, "…"), (7, "“quoted” words—and more of them here")]
