@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from metaloom import staging
 from metaloom.llm.components import components
@@ -179,7 +180,7 @@ def linked_classes(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[Da
                     some = others > 0
                     yield pa.RecordBatch.from_arrays([pa.array(ids[some].tolist(), rep_type), pa.array(others[some].astype(np.int64)), pa.array(root[some].tolist(), rep_type)], ["rep", "others", "root"])
 
-    rep_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind["rep"]]
+    rep_type = to_arrow_type(classes.schema["rep"].dataType)
     found = met.select((F.col("a") == F.col("b")).alias("same"), "ra", "rb").mapInArrow(compare, schema)
     return classes, stage(found, "ego-links")
 

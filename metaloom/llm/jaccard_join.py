@@ -359,5 +359,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose document is the least of its component; of rows with one id, all stay."""
-    kept = similar_documents(docs).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    name = "_kept"
+    while name in [x.lower() for x in docs.columns]:
+        name += "_"
+    kept = similar_documents(docs).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[name]), "left_semi")

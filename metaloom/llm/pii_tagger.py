@@ -33,6 +33,8 @@ from metaloom.llm.text import tidy
 KINDS = ("email", "ip", "card", "phone")
 #: rows with base spans to train on, and rows without
 FIT_ROWS = 400
+#: characters of an excerpt
+EXCERPT = 10_000
 WINDOW = 96
 HIDDEN = 16
 TAGS = 1 + 2 * len(KINDS)
@@ -292,20 +294,30 @@ def examples(texts: list[str], seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     return (np.stack(xs), np.stack(ys)) if xs else (np.zeros((0, WINDOW), np.uint8), np.zeros((0, WINDOW), np.int64))
 
 
+def _excerpts(docs: DataFrame) -> DataFrame:
+    """doc_id, part, text: whole texts in parts of ``EXCERPT`` characters, those with digits or ``@``."""
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{EXCERPT}}}"), F.lit(0))
+    rows = docs.where("doc_id IS NOT NULL AND text RLIKE '[0-9@]'")
+    return rows.select("doc_id", F.posexplode(parts).alias("part", "text")).where("text RLIKE '[0-9@]'")
+
+
 def fit(docs: DataFrame, rows: int = FIT_ROWS, epochs: int = 8) -> Tagger:
-    """Trained on the ``rows`` rows with digits or ``@`` of the smallest hashes (of their ids); none at all give an untrained tagger."""
+    """Trained on ``rows`` excerpts with digits or ``@``, those of the smallest hashes, of texts of any length; without any, it tags nothing."""
     spark = docs.sparkSession
-    order = F.xxhash64(F.lit("pii"), F.col("doc_id"))
-    some = docs.where("doc_id IS NOT NULL AND text RLIKE '[0-9@]' AND length(text) <= 20000").select("doc_id").orderBy(order, "doc_id").limit(4 * rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text RLIKE '[0-9@]' AND length(text) <= 20000")
+    order = F.xxhash64(F.lit("pii"), F.col("doc_id"), F.col("part"))
+    excerpts = _excerpts(docs.select("doc_id", "text"))
+    some = excerpts.select("doc_id", "part").orderBy(order, "doc_id", "part").limit(4 * rows)
+    sample = excerpts.join(F.broadcast(some), ["doc_id", "part"], "left_semi")
     # spans of interest first, so that all kinds are met
     ranked = sample.withColumn("_some", F.rlike("text", F.lit(r"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9]([ -]?[0-9]){12}|\+[0-9]")).cast("int"))
-    got = staging.stage(ranked.orderBy(F.desc("_some"), order, "doc_id").limit(rows).select("doc_id", "text"), staging.new_stage(spark, "pii-fit"))
+    got = staging.stage(ranked.orderBy(F.desc("_some"), order, "doc_id", "part").limit(rows).select("doc_id", "text"), staging.new_stage(spark, "pii-fit"))
     texts = [r["text"] for r in got.orderBy("doc_id", "text").collect()]
     tagger = Tagger.fresh()
     x, y = examples(texts)
     if len(x):
         tagger.train(x, y, epochs)
+    else:
+        tagger.p["ob"][0] = 1e6
     return tagger
 
 

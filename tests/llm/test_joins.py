@@ -70,6 +70,19 @@ def test_similar_documents_of_nothing(spark):
     assert sorted((x.doc_id or 0, x.component_id or 0) for x in jaccard_join.similar_documents(one).collect()) == [(0, 0), (1, 1), (1, 1), (2, 1)]
 
 
+def test_one_of_each_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 6), (2, "A b", 7, 8), (3, "c", 9, 0)], "doc_id long, text string, _kept int, _KEPT_ int")
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(tuple(x) for x in kept.collect()) == [(1, "a b", 5, 6), (3, "c", 9, 0)]
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(20,0)", "string"])
+def test_near_vectors_with_ids_of_other_types(spark, kind):
+    table = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [0.0, 1.0], 0)], "i int, embedding array<double>, label int")
+    got = ego_join.near_duplicates(table.selectExpr(f"cast(i as {kind}) as vec_id", "embedding", "label"))
+    assert dict(got.dtypes)["component_id"] == kind and sorted((int(x.vec_id), x.n_links, int(x.component_id)) for x in got.collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
 def test_signature_bounds_hold():
     r = np.random.default_rng(5)
     for _ in range(200):

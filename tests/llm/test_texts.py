@@ -193,6 +193,20 @@ def private(r, k):
     return [f"ann{k}.lee@mail{k}.example.com", f"{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}", card, f"+{r.randrange(10, 99)} {r.randrange(100, 999)} {r.randrange(1000000, 9999999)}"][k % 4]
 
 
+def test_tagger_learns_from_long_texts_and_tags_nothing_without_examples(spark):
+    r = random.Random(14)
+    long = "\n".join(f"{prose(r, 30)} {private(r, k)}" for k in range(400))
+    docs = spark.createDataFrame([(k, long) for k in range(3)], "doc_id long, text string")
+    assert len(long) > 60_000
+    fresh = [f"{prose(r, 20)} {private(r, k)} {prose(r, 20)}" for k in range(40)]
+    tagger = pii_tagger.fit(docs, rows=60, epochs=10)
+    hits = sum(set(slow_spans(t)[:1]) <= set(s) for t, s in zip(fresh, pii_tagger.tagged_spans(tagger, fresh)))
+    assert hits > 20
+    untaught = pii_tagger.fit(docs.selectExpr("doc_id", "'no figures here' as text"))
+    assert not any(pii_tagger.tagged_spans(untaught, [*fresh, long]))
+
+
+
 def test_tagger(spark):
     r = random.Random(11)
     texts = [f"{prose(r, 30)} {private(r, k)} {prose(r, 30)}" for k in range(120)] + [None, "", "Größe 😀 a@b.de", "x" * 5000 + " 10.0.0.1"]
