@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-from metaloom.operators.joins import HOT_ROWS, fan_out, hot_keys, salt_rows
+from metaloom.operators.joins import HOT_ROWS, fan_out, hot_keys, salt_rows, salted_join
+from metaloom.operators.label_index import LabelIndex, reachable
 from metaloom.staging import new_stage, stage, stage_counted
 
 
@@ -138,12 +139,16 @@ def trace_columns(
     max_depth: int = 5,
     source: str = "source_column_urn",
     target: str = "target_column_urn",
+    index: LabelIndex | None = None,
 ) -> DataFrame:
-    """Per seed and direction: how many nodes, walked edges, and the real greatest depth."""
+    """Per seed and direction: how many nodes, walked edges, and the real greatest depth. With an ``index`` of the edges nothing is traversed."""
     edges = stage(edges.select(source, target).distinct(), new_stage(edges.sparkSession, "trace"))
     parts = []
     for direction in ("upstream", "downstream"):
-        reached = traverse(edges, seeds, direction=direction, max_depth=max_depth, source=source, target=target)
+        if index is None:
+            reached = traverse(edges, seeds, direction=direction, max_depth=max_depth, source=source, target=target)
+        else:
+            reached = stage(reachable(index, seeds, direction, max_depth), new_stage(edges.sparkSession, "trace"))
         used = walked_edges(edges, reached, seeds, direction=direction, max_depth=max_depth, source=source, target=target)
         nodes = reached.groupBy("seed").agg(F.count("*").alias("nodes"), F.max("depth").alias("max_depth"))
         walked = used.groupBy("seed").agg(F.count("*").alias("edges"))
@@ -204,6 +209,24 @@ def direct_edges(edges: DataFrame, nodes: DataFrame, source: str = "source_urn",
     return out.union(into).distinct()
 
 
+def neighbour_edges(edges: DataFrame, nodes: DataFrame, source: str = "source_urn", target: str = "target_urn") -> DataFrame:
+    """Direct edges of ``nodes`` (column ``urn``) as rows: ``urn``, its ``role`` (producer: the edge leads into it, consumer: out of it), the edge's columns."""
+    wanted = nodes.select("urn").distinct()
+    out = salted_join(edges.withColumn("urn", F.col(source)), wanted, "urn", target).withColumn("role", F.lit("consumer"))
+    into = salted_join(edges.withColumn("urn", F.col(target)), wanted, "urn", source).withColumn("role", F.lit("producer"))
+    return out.unionByName(into).select(*edges.columns, "role", "urn").distinct()
+
+
+def subgraph(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, source: str = "source_urn", target: str = "target_urn") -> DataFrame:
+    """The edges around each seed in both directions: (seed, *edge columns, direction); from the seed on, a walk keeps its direction."""
+    edges = stage(edges.distinct(), new_stage(edges.sparkSession, "subgraph"))
+    parts = []
+    for direction in ("downstream", "upstream"):
+        reached = traverse(edges, seeds, direction=direction, max_depth=max_depth, source=source, target=target)
+        parts.append(walked_edges(edges, reached, seeds, direction=direction, max_depth=max_depth, source=source, target=target).withColumn("direction", F.lit(direction)))
+    return parts[0].unionByName(parts[1])
+
+
 def degrees(edges: DataFrame, source: str = "source_urn", target: str = "target_urn") -> DataFrame:
     """(urn, producers, consumers): direct in- and out-edge counts of every node."""
     ends = edges.select(F.explode(F.array(
@@ -226,35 +249,43 @@ def first_parents(edges: DataFrame, source: str = "source_urn", target: str = "t
 
 
 def origins(
-    edges: DataFrame, seeds: DataFrame, max_depth: int = 10, source: str = "source_urn", target: str = "target_urn"
+    edges: DataFrame, seeds: DataFrame, max_depth: int = 10, source: str = "source_urn", target: str = "target_urn", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """(seed, origin, hops): follow the smallest upstream edge of each node.
 
     The walk ends at a node without upstream, before a node already on its own
     walk, or after ``max_depth`` hops; a seed without upstream gives no row.
-    Every walk has one successor per step, so its path array stays at most
-    ``max_depth`` long.
+
+    Pointer doubling: a node's next 2k ancestors are its next k and those of the
+    last of them, so the number of joins is the logarithm of the depth. Many
+    walks meet in one node: such nodes are split over tasks. On a walk nothing
+    new follows a node met twice, so the distinct nodes of a trail are the walk.
     """
     spark = edges.sparkSession
     path = new_stage(spark, "origins")
-    parents = stage(first_parents(edges, source, target), f"{path}/parents")
-    walk = seeds.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.array("seed").alias("trail"))
-    finished: list[DataFrame] = []
-    for depth in range(1, max_depth + 1):
-        step = walk.join(parents, "node", "left")
-        ends = F.col("parent").isNull() | F.array_contains("trail", F.col("parent"))
-        step = step.select("seed", F.when(ends, F.col("node")).otherwise(F.col("parent")).alias("node"),
-                        F.when(ends, F.col("trail")).otherwise(F.concat("trail", F.array("parent"))).alias("trail"), ends.alias("done"))
-        step, rows = stage_counted(step, f"{path}/step={depth}", F.count_if(~F.col("done")))
-        finished.append(step.filter("done"))
-        walk = step.filter("not done").drop("done")
-        if rows == 0:
-            break
-    finished.append(walk.withColumn("done", F.lit(True)))
-    result = finished[0]
-    for part in finished[1:]:
-        result = result.unionByName(part)
-    return result.select("seed", F.col("node").alias("origin"), (F.size("trail") - 1).alias("hops")).filter("hops > 0")
+    parents = first_parents(edges, source, target)
+    step = stage(parents.select("node", F.array("parent").alias("trail")), f"{path}/trails=1")
+    trails, length = {1: step}, 1
+
+    def longer(walk: DataFrame, ahead: DataFrame, name: str) -> DataFrame:
+        """Every walk (``name``, trail) goes on with the trail of its last node."""
+        keyed = walk.withColumn("_last", F.coalesce(F.get("trail", F.size("trail") - 1), F.col(name)))
+        more = ahead.select(F.col("node").alias("_last"), F.col("trail").alias("_more"))
+        joined = salted_join(keyed, more, "_last", name, "left", hot_rows)
+        return joined.select(name, F.concat("trail", F.coalesce("_more", F.array().cast(ahead.schema["trail"].dataType))).alias("trail"))
+
+    complete = False
+    while 2 * length <= max_depth and not complete:
+        step, full = stage_counted(longer(step, step, "node"), f"{path}/trails={2 * length}", F.count_if(F.size("trail") == 2 * length))
+        length *= 2
+        trails[length] = step
+        complete = full == 0  # no walk is as long as that: there is nothing further to join
+    walk = seeds.select("seed").where("seed IS NOT NULL").distinct().withColumn("trail", F.array().cast(step.schema["trail"].dataType))
+    for size in [length] if complete else [k for k in sorted(trails, reverse=True) if max_depth & k]:
+        walk = stage(longer(walk, trails[size], "seed"), f"{path}/walks={size}")
+    visited = F.array_distinct(F.concat(F.array("seed"), F.col("trail")))
+    rows = walk.select("seed", visited.alias("visited"))
+    return rows.where(F.size("visited") > 1).select("seed", F.element_at("visited", -1).alias("origin"), (F.size("visited") - 1).alias("hops"))
 
 
 def terminals(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from metaloom.operators import lineage
+from metaloom.operators import label_index, lineage
 from metaloom.plans.registry import Catalog, query
 
 DEPTH = 4
@@ -169,3 +169,100 @@ def tk4_lineage_order(c: Catalog):
 
     reached = lineage.downstream(c.view("v_column_edges"), max_depth=3, **_COLUMN_ENDS)
     return reached.withColumn("position", F.row_number().over(W.partitionBy("seed").orderBy("depth", "node")))
+
+
+# ------------------------------------------------- seed tables through the label index
+
+_BRONZE = "bronze AS (SELECT urn AS seed FROM v_column_nodes WHERE layer = 'bronze')"
+
+
+def _bronze(c: Catalog):
+    """The columns where personal data enters."""
+    return c.view("v_column_nodes").filter("layer = 'bronze'").select(F.col("urn").alias("seed"))
+
+
+def _with_bronze(sql: str) -> str:
+    return sql.strip().replace("WITH ", f"WITH {_BRONZE}, ", 1)
+
+
+@query("g1_upstream_indexed", reach_sql("v_edges_cyclic", 4, "target_urn", "source_urn", "v_nation_seeds") + " SELECT * FROM reach")
+def g1_upstream_indexed(c: Catalog):
+    return label_index.reachable(label_index.build(c.view("v_edges_cyclic"), 4), c.view("v_nation_seeds"), "upstream")
+
+
+@query("g2_downstream_indexed", reach_sql("v_edges_cyclic", 5, "source_urn", "target_urn", "v_nation_seeds") + " SELECT * FROM reach")
+def g2_downstream_indexed(c: Catalog):
+    return label_index.reachable(label_index.build(c.view("v_edges_cyclic"), 5), c.view("v_nation_seeds"))
+
+
+@query("g4_downstream_columns_indexed", _with_bronze(reach_sql("v_column_edges", 3, "source_column_urn", "target_column_urn", "bronze"))
+       + " SELECT r.*, n.name AS column_name, n.data_type, n.capsule_urn FROM reach r JOIN v_column_nodes n ON n.urn = r.node")
+def g4_downstream_columns_indexed(c: Catalog):
+    index = label_index.build(c.view("v_column_edges"), 3, **_COLUMN_ENDS)
+    return _described(c, label_index.reachable(index, _bronze(c)))
+
+
+@query("g3_upstream_columns_indexed", _with_bronze(reach_sql("v_column_edges", 3, "target_column_urn", "source_column_urn").replace("WITH ", "WITH marts AS (SELECT urn AS seed FROM v_column_nodes WHERE layer = 'marts'), ", 1).replace("SELECT target_column_urn AS seed, source_column_urn AS node, 1 AS depth FROM v_column_edges", "SELECT target_column_urn AS seed, source_column_urn AS node, 1 AS depth FROM v_column_edges WHERE target_column_urn IN (SELECT seed FROM marts)"))
+       + " SELECT r.*, n.name AS column_name, n.data_type, n.capsule_urn FROM reach r JOIN v_column_nodes n ON n.urn = r.node")
+def g3_upstream_columns_indexed(c: Catalog):
+    seeds = c.view("v_column_nodes").filter("layer = 'marts'").select(F.col("urn").alias("seed"))
+    index = label_index.build(c.view("v_column_edges"), 3, **_COLUMN_ENDS)
+    return _described(c, label_index.reachable(index, seeds, "upstream"))
+
+
+@query("g5_trace_columns_indexed", _with_bronze("""
+    WITH e AS (SELECT DISTINCT source_column_urn AS s, target_column_urn AS t FROM v_column_edges),
+    walk AS (SELECT s AS seed, t AS node, 1 AS depth FROM e WHERE s IN (SELECT seed FROM bronze) UNION SELECT w.seed, e.t, w.depth + 1 FROM walk w JOIN e ON e.s = w.node WHERE w.depth < 5),
+    d AS (SELECT seed, node, min(depth) AS depth FROM walk WHERE seed <> node GROUP BY ALL),
+    n AS (SELECT seed, count(*) AS nodes, max(depth) AS max_depth FROM d GROUP BY seed),
+    k AS (SELECT p.seed, count(*) AS edges FROM (SELECT seed, node FROM d WHERE depth < 5 UNION SELECT seed, seed FROM bronze) p JOIN e ON e.s = p.node GROUP BY p.seed)
+    SELECT seed, nodes, max_depth, edges, 'downstream' AS direction FROM n JOIN k USING (seed)"""))
+def g5_trace_columns_indexed(c: Catalog):
+    edges = c.view("v_column_edges").select("source_column_urn", "target_column_urn").distinct()
+    return lineage.trace_columns(edges, _bronze(c), max_depth=5, index=label_index.build(edges, 5, **_COLUMN_ENDS))
+
+
+@query("g6_column_depth_indexed", _with_bronze(reach_sql("v_column_edges", 10, "source_column_urn", "target_column_urn", "bronze"))
+       + " SELECT seed, max(depth) AS actual_depth, count(*) AS nodes FROM reach GROUP BY seed")
+def g6_column_depth_indexed(c: Catalog):
+    reached = label_index.reachable(label_index.build(c.view("v_column_edges"), 10, **_COLUMN_ENDS), _bronze(c))
+    return reached.groupBy("seed").agg(F.max("depth").alias("actual_depth"), F.count("*").alias("nodes"))
+
+
+@query("g10_counts_indexed", """
+    WITH dwalk AS (SELECT source_urn AS seed, target_urn AS node, 1 AS depth FROM v_edges_cyclic WHERE source_urn IN (SELECT seed FROM v_nation_seeds)
+      UNION SELECT w.seed, e.target_urn, w.depth + 1 FROM dwalk w JOIN v_edges_cyclic e ON e.source_urn = w.node WHERE w.depth < 4),
+    uwalk AS (SELECT target_urn AS seed, source_urn AS node, 1 AS depth FROM v_edges_cyclic WHERE target_urn IN (SELECT seed FROM v_nation_seeds)
+      UNION SELECT w.seed, e.source_urn, w.depth + 1 FROM uwalk w JOIN v_edges_cyclic e ON e.target_urn = w.node WHERE w.depth < 4),
+    pairs AS (SELECT seed, node, min(depth) AS depth, 'downstream' AS direction FROM dwalk WHERE seed <> node GROUP BY 1, 2 UNION ALL SELECT seed, node, min(depth), 'upstream' FROM uwalk WHERE seed <> node GROUP BY 1, 2)
+    SELECT seed, direction, count(*) AS nodes, max(depth) AS max_depth FROM pairs GROUP BY 1, 2""")
+def g10_counts_indexed(c: Catalog):
+    return label_index.reach_counts(label_index.build(c.view("v_edges_cyclic"), 4), c.view("v_nation_seeds"))
+
+
+@query("g2_distances_indexed", reach_sql("v_edges_cyclic", 4, "source_urn", "target_urn", "v_nation_seeds") + """
+    SELECT n.seed AS source, concat('supplier:', CAST(s_suppkey AS STRING)) AS target, r.depth FROM v_nation_seeds n JOIN supplier ON true
+    LEFT JOIN reach r ON r.seed = n.seed AND r.node = concat('supplier:', CAST(s_suppkey AS STRING)) WHERE n.seed = concat('nation:', CAST((s_suppkey % 25) AS STRING))""")
+def g2_distances_indexed(c: Catalog):
+    asked = c.table("supplier").select(F.concat(F.lit("nation:"), (F.col("s_suppkey") % 25).cast("string")).alias("source"), F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("target"))
+    return label_index.distances(label_index.build(c.view("v_edges_cyclic"), 4), asked)
+
+
+@query("g11_subgraph_both_ways", """
+    WITH dwalk AS (SELECT source_urn AS seed, target_urn AS node, 1 AS depth FROM v_edges_cyclic WHERE source_urn IN (SELECT seed FROM v_nation_seeds)
+      UNION SELECT w.seed, e.target_urn, w.depth + 1 FROM dwalk w JOIN v_edges_cyclic e ON e.source_urn = w.node WHERE w.depth < 2),
+    uwalk AS (SELECT target_urn AS seed, source_urn AS node, 1 AS depth FROM v_edges_cyclic WHERE target_urn IN (SELECT seed FROM v_nation_seeds)
+      UNION SELECT w.seed, e.source_urn, w.depth + 1 FROM uwalk w JOIN v_edges_cyclic e ON e.target_urn = w.node WHERE w.depth < 2)
+    SELECT DISTINCT p.seed, e.source_urn, e.target_urn, 'downstream' AS direction FROM (SELECT seed, node FROM dwalk WHERE depth < 2 UNION SELECT seed, seed FROM v_nation_seeds) p JOIN v_edges_cyclic e ON e.source_urn = p.node
+    UNION SELECT DISTINCT p.seed, e.source_urn, e.target_urn, 'upstream' FROM (SELECT seed, node FROM uwalk WHERE depth < 2 UNION SELECT seed, seed FROM v_nation_seeds) p JOIN v_edges_cyclic e ON e.target_urn = p.node""")
+def g11_subgraph_both_ways(c: Catalog):
+    return lineage.subgraph(c.view("v_edges_cyclic"), c.view("v_nation_seeds"), max_depth=2).select("seed", "source_urn", "target_urn", "direction")
+
+
+@query("g8_edge_rows", """
+    WITH seeds AS (SELECT urn FROM v_column_nodes WHERE layer = 'silver')
+    SELECT source_column_urn, target_column_urn, transformation_type, 'consumer' AS role, source_column_urn AS urn FROM v_column_edges WHERE source_column_urn IN (SELECT urn FROM seeds)
+    UNION SELECT source_column_urn, target_column_urn, transformation_type, 'producer', target_column_urn FROM v_column_edges WHERE target_column_urn IN (SELECT urn FROM seeds)""")
+def g8_edge_rows(c: Catalog):
+    nodes = c.view("v_column_nodes").filter("layer = 'silver'").select("urn")
+    return lineage.neighbour_edges(c.view("v_column_edges").select("source_column_urn", "target_column_urn", "transformation_type"), nodes, "source_column_urn", "target_column_urn")

@@ -66,3 +66,23 @@ def test_salted_join_equals_plain_join(spark, how):
     plain = left.join(right, "k", how)
     salted = salted_join(left, right, "k", "i", how, hot_rows=5)
     assert sorted(map(tuple, salted.select(*plain.columns).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3, 5, 8, 13, 40])
+def test_origins_equal_step_by_step_walks(spark, limit):
+    r = random.Random(21)
+    edges = sorted({(f"n{r.randrange(70)}", f"n{k}") for k in range(60)} | {(f"p{k}", f"p{k + 1}") for k in range(30)} | {("s", "s"), ("s", "t"), ("q1", "q0"), ("q2", "q1"), ("q0", "q2")})
+    parent = {}
+    for a, b in edges:
+        parent[b] = min(a, parent.get(b, a))
+    want = {}
+    for seed in {x for e in edges for x in e}:
+        trail = [seed]
+        while len(trail) <= limit and trail[-1] in parent and parent[trail[-1]] not in trail:
+            trail.append(parent[trail[-1]])
+        if len(trail) > 1:
+            want[seed] = (trail[-1], len(trail) - 1)
+    df = spark.createDataFrame(edges, "source_urn string, target_urn string")
+    seeds = spark.createDataFrame([(x,) for x in sorted({x for e in edges for x in e})] + [("gone",), (None,), ("p3",)], "seed string")
+    for hot in (1_000_000, 2) if limit == 5 else (1_000_000,):
+        assert {x.seed: (x.origin, x.hops) for x in lineage.origins(df, seeds, limit, hot_rows=hot).collect()} == want
