@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaloom.functions.classify import detect_pii, infer_domain, infer_layer, semantic_type, table_urn
+from metaloom.functions.classify import detect_pii, infer_domain, infer_layer, present, semantic_type, table_urn
+from metaloom.sources.accounting import Accounted, account
 
 COLUMN = "STRUCT<name: STRING, description: STRING, meta: MAP<STRING, STRING>, tags: ARRAY<STRING>, data_tests: ARRAY<STRING>, depends_on: ARRAY<STRING>>"
 NODE = f"""STRUCT<resource_type: STRING, name: STRING, alias: STRING, database: STRING, schema: STRING, source_name: STRING, package_name: STRING, original_file_path: STRING,
@@ -114,13 +115,49 @@ def edges(nodes: DataFrame, prefix: str = "urn:cat:dbt") -> DataFrame:
     """Table edges from declared dependencies; unknown ids are dropped."""
     known = nodes.select(F.col("unique_id").alias("dep"), _node_urn(prefix).alias("source_urn"))
     wanted = nodes.select(_node_urn(prefix).alias("target_urn"), F.explode("depends_on").alias("dep"))
+    return wanted.join(known, "dep").select("source_urn", "target_urn", F.lit("flows_to").alias("edge_type"), _dependency_kind().alias("transformation"))
+
+
+def _dependency_kind() -> Column:
     kind = F.substring_index("dep", ".", 1)
-    transformation = F.when(kind == "source", "source").when(kind.isin("model", "seed"), "ref").otherwise("dependency")
-    return wanted.join(known, "dep").select("source_urn", "target_urn", F.lit("flows_to").alias("edge_type"), transformation.alias("transformation"))
+    return F.when(kind == "source", "source").when(kind.isin("model", "seed"), "ref").otherwise("dependency")
+
+
+def checked_capsules(nodes: DataFrame, prefix: str = "urn:cat:dbt") -> Accounted:
+    """``capsules``, without nodes that have no name."""
+    return account(capsules(nodes, prefix), "capsules", [(present(F.col("name")), "error", "node without a name")], F.col("unique_id"))
+
+
+def checked_edges(nodes: DataFrame, prefix: str = "urn:cat:dbt") -> Accounted:
+    """``edges``, with a problem for each dependency on a node that isn't there."""
+    known = nodes.select(F.col("unique_id").alias("dep"), _node_urn(prefix).alias("source_urn"))
+    wanted = nodes.select("unique_id", _node_urn(prefix).alias("target_urn"), F.explode("depends_on").alias("dep"))
+    rows = wanted.join(known, "dep", "left").select("unique_id", "dep", "source_urn", "target_urn", F.lit("flows_to").alias("edge_type"), _dependency_kind().alias("transformation"))
+    return account(rows, "edges", [(F.col("source_urn").isNotNull(), "warning", "unknown node")], F.concat_ws(" -> ", "dep", "unique_id"))
+
+
+def checked_columns(nodes: DataFrame, catalog: DataFrame) -> Accounted:
+    """Rows of the catalog; those of nodes that the manifest doesn't have are dropped."""
+    known = nodes.select("unique_id", F.lit(True).alias("_known"))
+    rows = catalog.join(known, "unique_id", "left")
+    checks = [(F.col("_known"), "warning", "catalog node not in the manifest"), (present(F.col("column_name")), "error", "column without a name")]
+    got = account(rows, "catalog_columns", checks, F.concat_ws(".", "unique_id", "column_name"))
+    return Accounted(got.kept.drop("_known"), got.problems, got.counts)
+
+
+def checked_column_edges(nodes: DataFrame, node_columns: DataFrame) -> Accounted:
+    """``column_edges``, with a problem for each reference whose column isn't there."""
+    checks = [(F.col("target_column_urn").isNotNull(), "warning", "unknown target column"), (F.col("source_column_urn").isNotNull(), "warning", "unknown source column")]
+    return account(_column_references(nodes, node_columns), "column_edges", checks, F.concat(F.concat_ws(".", "source_id", "source"), F.lit(" -> "), F.concat_ws(".", "unique_id", "target")))
 
 
 def column_edges(nodes: DataFrame, node_columns: DataFrame) -> DataFrame:
-    """Column edges from the three places a manifest may declare them."""
+    """Column edges from the three places a manifest may declare them; references to unknown columns are dropped."""
+    return _column_references(nodes, node_columns).where("source_column_urn IS NOT NULL AND target_column_urn IS NOT NULL").select("source_column_urn", "target_column_urn", "transformation_type")
+
+
+def _column_references(nodes: DataFrame, node_columns: DataFrame) -> DataFrame:
+    """Declared column references: unique_id, target, source_id, source, transformation_type, and the URNs of both ends where they are known."""
     dotted = r"^(.*)\.([^.]+)$"
     ref = lambda c: (F.regexp_extract(c, dotted, 1), F.lower(F.regexp_extract(c, dotted, 2)))
 
@@ -146,7 +183,7 @@ def column_edges(nodes: DataFrame, node_columns: DataFrame) -> DataFrame:
     names = node_columns.select("unique_id", F.lower("name").alias("k"), "urn")
     source = names.select(F.col("unique_id").alias("source_id"), F.col("k").alias("source"), F.col("urn").alias("source_column_urn"))
     target = names.select("unique_id", F.col("k").alias("_target"), F.col("urn").alias("target_column_urn"))
-    return found.withColumn("_target", F.lower("target")).join(target, ["unique_id", "_target"]).join(source, ["source_id", "source"]).select("source_column_urn", "target_column_urn", "transformation_type")
+    return found.withColumn("_target", F.lower("target")).join(target, ["unique_id", "_target"], "left").join(source, ["source_id", "source"], "left").drop("_target")
 
 
 def domains(node_capsules: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from metaloom.functions.classify import domain_of_tags, duration_seconds, operation_type, present, task_type, transformation_of
 from metaloom.operators.rollups import resolve_columns
+from metaloom.sources.accounting import Accounted, account
+from metaloom.sources.json_records import parse_records, read_records
 from metaloom.sources.manifest import select_models
 
 DELAY = "STRUCT<__var: STRUCT<days: INT, seconds: INT>>"
@@ -25,24 +27,29 @@ TASK_ID_PREFIXES = ["dbt_run_", "dbt_test_", "dbt_"]
 SQL_OPERATORS = ["sql", "postgres", "mysql", "snowflake", "bigquery", "redshift"]
 
 
-def _read_json(spark: SparkSession, path: str, schema: str, layout: str) -> DataFrame:
-    """``layout``: ``objects`` (one object per file) or ``lines`` (one per line).
+#: names of layouts; records are found by their braces, so all are read alike
+LAYOUTS = ("any", "objects", "lines")
 
-    A file of several unindented objects read as ``objects`` would lose all but the first, so it is an error.
-    """
-    if layout not in ("objects", "lines"):
-        raise ValueError(f"layout {layout} is not one of objects, lines")
-    if layout == "objects":
-        roots = spark.read.text(path).filter(F.col("value").rlike(r"^\{.*\}\s*$")).groupBy(F.input_file_name().alias("file")).count()
-        several = roots.filter("count > 1").first()
-        if several:
-            raise ValueError(f"{several['file']} holds {several['count']} objects; read it with layout lines")
-    return spark.read.schema(schema).option("multiLine", layout == "objects").json(path)
+
+def _read_json(spark: SparkSession, path: str, schema: str, layout: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``schema`` with location and position, problems) of every object in the files at ``path``."""
+    if layout not in LAYOUTS:
+        raise ValueError(f"layout {layout} is not one of {', '.join(LAYOUTS)}")
+    return parse_records(read_records(spark, path), schema)
+
+
+def parse_dags(spark: SparkSession, path: str, layout: str = "any") -> tuple[DataFrame, DataFrame]:
+    """(workflow exports, problems). An object that lists workflows under ``dags`` stands for each of them."""
+    rows, problems = _read_json(spark, path, f"{DAG}, dags ARRAY<STRUCT<{DAG}>>", layout)
+    names = [x for x in rows.columns if x not in ("location", "position", "dags")]
+    itself = F.array(F.struct(*names))
+    each = rows.select("location", "position", F.explode(F.when(F.col("dags").isNotNull(), F.col("dags")).otherwise(itself)).alias("d"))
+    return each.select("location", "position", "d.*"), problems
 
 
-def read_dags(spark: SparkSession, path: str, layout: str = "objects") -> DataFrame:
-    """One row per workflow export; see ``_read_json`` for the layout."""
-    return _read_json(spark, path, DAG, layout)
+def read_dags(spark: SparkSession, path: str, layout: str = "any") -> DataFrame:
+    """One row per workflow export, however the files are laid out; see ``parse_dags`` for what can't be read."""
+    return parse_dags(spark, path, layout)[0].drop("location", "position")
 
 
 def _text_or_field(c: Column, field: str) -> Column:
@@ -104,8 +111,8 @@ def task_edges(dags: DataFrame, instance: str = "default", prefix: str = "urn:ca
     return contains.unionByName(down.select("source_urn", _task_urn(prefix, instance, F.col("dag_id"), F.col("d")).alias("target_urn"), F.lit("depends_on").alias("edge_type")))
 
 
-def read_annotations(spark: SparkSession, path: str, layout: str = "objects") -> DataFrame:
-    return _read_json(spark, path, ANNOTATIONS, layout)
+def read_annotations(spark: SparkSession, path: str, layout: str = "any") -> DataFrame:
+    return _read_json(spark, path, ANNOTATIONS, layout)[0].drop("location", "position")
 
 
 def annotation_edges(annotations: DataFrame, prefix: str = "urn:cat") -> DataFrame:
@@ -123,13 +130,40 @@ def annotation_edges(annotations: DataFrame, prefix: str = "urn:cat") -> DataFra
     return items.select("task_urn", _text_or_field(F.col("item"), "urn").alias("capsule_urn"), "edge_type", detail.alias("detail")).filter(present(F.col("capsule_urn")))
 
 
+def checked_dags(dags: DataFrame) -> Accounted:
+    """Workflow exports that have an id."""
+    return account(dags, "workflows", [(present(F.col("dag_id")), "error", "workflow without an id")], F.col("location") if "location" in dags.columns else F.lit(""))
+
+
+def checked_task_edges(dags: DataFrame, instance: str = "default", prefix: str = "urn:cat") -> Accounted:
+    """depends_on edges, with a problem for each one to a task that its workflow doesn't have."""
+    rows = dags.select("dag_id", F.explode("tasks").alias("t"))
+    known = rows.select("dag_id", F.col("t.task_id").alias("d"), F.lit(True).alias("_known")).distinct()
+    down = rows.select("dag_id", F.col("t.task_id").alias("task_id"), F.explode("t.downstream_task_ids").alias("d")).join(known, ["dag_id", "d"], "left")
+    edges = down.select("_known", "dag_id", "task_id", "d", _task_urn(prefix, instance, F.col("dag_id"), F.col("task_id")).alias("source_urn"), _task_urn(prefix, instance, F.col("dag_id"), F.col("d")).alias("target_urn"), F.lit("depends_on").alias("edge_type"))
+    got = account(edges, "task_edges", [(present(F.col("task_id")), "error", "task without an id"), (F.col("_known"), "warning", "unknown downstream task")], F.concat_ws(".", "dag_id", "task_id", "d"))
+    return Accounted(got.kept.select("source_urn", "target_urn", "edge_type"), got.problems, got.counts)
+
+
+def checked_annotations(annotated: DataFrame, capsules: DataFrame, prefix: str = "urn:cat") -> Accounted:
+    """Annotated edges, with a problem for each URN that is malformed or that no table has."""
+    rows = annotated.join(capsules.select(F.col("urn").alias("capsule_urn"), F.lit(True).alias("_known")), "capsule_urn", "left")
+    checks = [(well_formed(F.col("capsule_urn"), prefix), "error", "malformed URN"), (F.col("_known"), "warning", "unknown table")]
+    got = account(rows, "annotations", checks, F.concat_ws(" ", "task_urn", "edge_type", "capsule_urn"))
+    return Accounted(got.kept.select(*annotated.columns), got.problems, got.counts)
+
+
+def well_formed(urn: Column, prefix: str = "urn:cat") -> Column:
+    return urn.rlike(f"^{prefix}:[^:]+:.+")
+
+
 def unknown_references(annotated: DataFrame, capsules: DataFrame) -> DataFrame:
     """Annotated URNs that no table has."""
     return annotated.join(capsules.select(F.col("urn").alias("capsule_urn")), "capsule_urn", "left_anti").select("task_urn", "capsule_urn")
 
 
 def malformed_urns(annotated: DataFrame, prefix: str = "urn:cat") -> DataFrame:
-    return annotated.filter(~F.col("capsule_urn").rlike(f"^{prefix}:[^:]+:.+")).select("task_urn", "capsule_urn")
+    return annotated.filter(~well_formed(F.col("capsule_urn"), prefix)).select("task_urn", "capsule_urn")
 
 
 def model_edges(task_rows: DataFrame, nodes: DataFrame, node_urns: DataFrame) -> DataFrame:
@@ -194,8 +228,3 @@ def best_statement(mapped: DataFrame) -> DataFrame:
     ranked = mapped.withColumn("_r", rank)
     best = ranked.groupBy("task_urn").agg(F.min("_r").alias("_r"))
     return ranked.join(best, ["task_urn", "_r"], "left_semi").select(*mapped.columns)
-
-
-def config_problems(config: Mapping[str, object], required: Sequence[str]) -> list[str]:
-    """Messages for missing entries of a source configuration."""
-    return [f"{name} is required" for name in required if not config.get(name)]

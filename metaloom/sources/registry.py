@@ -50,15 +50,16 @@ def _orchestrator(spark: SparkSession, config: Mapping[str, object]) -> Tables:
     from metaloom.sources import orchestrator as o
 
     instance = str(config.get("instance", "default"))
-    dags = o.read_dags(spark, str(config["path"]), str(config.get("layout", "objects")))
+    dags, problems = o.parse_dags(spark, str(config["path"]), str(config.get("layout", "any")))
+    dags = dags.drop("location", "position")
     dags = dags.filter(o.included(F.col("dag_id"), F.col("is_paused"), F.col("is_active"), **dict(config.get("filters", {}))))
     tasks = o.tasks(dags, instance)
-    out = {"workflows": o.workflows(dags, instance), "tasks": tasks, "task_edges": o.task_edges(dags, instance)}
+    out = {"workflows": o.workflows(dags, instance), "tasks": tasks, "task_edges": o.task_edges(dags, instance), "problems": problems}
     # data edges of tasks, where the configuration names what they refer to: annotation, else model, else SQL text
     none = spark.createDataFrame([], "task_urn string, capsule_urn string, edge_type string")
     annotated = from_models = from_sql = none
     if config.get("annotations_path"):
-        annotated = o.annotation_edges(o.read_annotations(spark, str(config["annotations_path"]), str(config.get("annotations_layout", "objects"))))
+        annotated = o.annotation_edges(o.read_annotations(spark, str(config["annotations_path"]), str(config.get("annotations_layout", "any"))))
         out["malformed_urns"] = o.malformed_urns(annotated)
     if config.get("manifest_path"):
         from metaloom.sources import manifest as m

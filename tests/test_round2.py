@@ -74,8 +74,9 @@ def test_every_object_of_a_json_lines_export_is_read(spark, tmp_path):
     lines = tmp_path / "lines.json"
     lines.write_text("\n".join(json.dumps(d) for d in dags))
     assert {r.dag_id for r in orchestrator.read_dags(spark, str(lines), "lines").collect()} == {"d0", "d1", "d2"}
-    with pytest.raises(ValueError, match="layout lines"):
-        orchestrator.read_dags(spark, str(lines))
+    assert {r.dag_id for r in orchestrator.read_dags(spark, str(lines)).collect()} == {"d0", "d1", "d2"}
+    with pytest.raises(ValueError, match="layout"):
+        orchestrator.read_dags(spark, str(lines), "table")
     whole = tmp_path / "whole.json"
     whole.write_text(json.dumps(dags[0], indent=1))
     assert orchestrator.read_dags(spark, str(whole)).count() == 1
