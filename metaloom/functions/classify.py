@@ -445,15 +445,20 @@ def dependency_type(edge_type: Column) -> Column:
 
 
 def _outside_brackets(text: Column) -> Column:
-    """The characters at bracket depth 0, at any nesting; a closing bracket without an opening one stays."""
+    """The text at bracket depth 0, at any nesting; a closing bracket without an opening one stays.
+
+    One pass over the characters with two numbers gives the greatest depth, and as many passes drop the innermost
+    pairs; what an opening bracket without a closing one leaves open is dropped to the end.
+    """
+
     def step(state: Column, ch: Column) -> Column:
-        opens, closes = ch == "(", (ch == ")") & (state["depth"] > 0)
-        depth = state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        kept = F.when(opens | closes | (state["depth"] > 0), state["kept"]).otherwise(F.concat(state["kept"], ch))
-        return F.struct(depth.alias("depth"), kept.alias("kept"))
+        now = F.greatest(state["now"] + F.when(ch == "(", 1).when(ch == ")", -1).otherwise(0), F.lit(0))
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
 
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
-    return F.when(text.contains("("), F.aggregate(F.split(text, ""), start, step, lambda s: s["kept"])).otherwise(text)
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    depth = F.aggregate(F.split(text, ""), zero, step, lambda s: s["most"])
+    closed = F.aggregate(F.sequence(F.lit(1), depth), text, lambda s, _: F.regexp_replace(s, r"\([^()]*\)", ""))
+    return F.when(text.contains("("), F.substring_index(closed, "(", 1)).otherwise(text)
 
 
 def transformation_of(expression: Column, statement: Column | None = None) -> Column:

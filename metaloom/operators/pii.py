@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.functions.classify import detect_pii, is_masked, pii_severity
+from metaloom.functions.classify import PII_NAME_PATTERNS, detect_pii, is_masked, pii_severity
 from metaloom.operators.lineage import origins, terminals, traverse
 from metaloom.staging import new_stage, stage
 
@@ -22,9 +24,9 @@ CONTENT_PATTERNS = {
 }
 
 
-def tag_columns(columns: DataFrame, meta: str | None = None, tags: str | None = None) -> DataFrame:
-    """Add ``pii_type`` and ``pii_detected_by`` from metadata, tags and name."""
-    found = detect_pii(F.col("name"), F.col(meta) if meta else None, F.col(tags) if tags else None)
+def tag_columns(columns: DataFrame, meta: str | None = None, tags: str | None = None, patterns: Mapping[str, Sequence[str]] = PII_NAME_PATTERNS) -> DataFrame:
+    """Add ``pii_type`` and ``pii_detected_by`` from metadata, tags and name (``patterns``: type -> patterns of names)."""
+    found = detect_pii(F.col("name"), F.col(meta) if meta else None, F.col(tags) if tags else None, patterns)
     return columns.withColumn("_pii", found).select(
         "*", F.col("_pii.pii_type").alias("pii_type"), F.col("_pii.detected_by").alias("pii_detected_by")
     ).drop("_pii")

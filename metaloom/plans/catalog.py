@@ -11,6 +11,7 @@ from metaloom.plans import (  # noqa: F401
     rollup_queries,
     similarity_queries,
     snapshot_queries,
+    source_queries,
 )
 from metaloom.plans.registry import ORACLES, QUERIES, Catalog
 

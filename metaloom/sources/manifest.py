@@ -6,14 +6,16 @@ other functions work on the node table, so they run on any source of nodes.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaloom.functions.classify import detect_pii, infer_domain, infer_layer, present, semantic_type, table_urn
+from metaloom.functions.classify import LAYER_NAME_PATTERNS, LAYER_PATH_PATTERNS, PII_NAME_PATTERNS, detect_pii, infer_domain, infer_layer, present, semantic_type, table_urn
 from metaloom.sources.accounting import Accounted, account
 
+Patterns = Mapping[str, Sequence[str]]
+
 COLUMN = "STRUCT<name: STRING, description: STRING, meta: MAP<STRING, STRING>, tags: ARRAY<STRING>, data_tests: ARRAY<STRING>, depends_on: ARRAY<STRING>>"
 NODE = f"""STRUCT<resource_type: STRING, name: STRING, alias: STRING, database: STRING, schema: STRING, source_name: STRING, package_name: STRING, original_file_path: STRING,
   description: STRING, tags: ARRAY<STRING>, meta: MAP<STRING, STRING>, config: STRUCT<materialized: STRING, meta: MAP<STRING, STRING>>,
@@ -78,10 +80,10 @@ def _node_urn(prefix: str):
     return table_urn(prefix, F.col("resource_type"), F.concat_ws(".", "project", "namespace"), F.col("name"))
 
 
-def capsules(nodes: DataFrame, prefix: str = "urn:cat:dbt") -> DataFrame:
-    """Catalog rows of nodes: layer, domain, tests."""
+def capsules(nodes: DataFrame, prefix: str = "urn:cat:dbt", layer_names: Patterns = LAYER_NAME_PATTERNS, layer_paths: Patterns = LAYER_PATH_PATTERNS) -> DataFrame:
+    """Catalog rows of nodes: layer (by patterns of names and paths), domain, tests."""
     tests = F.size("data_tests") + F.aggregate(F.transform(F.coalesce(F.map_values("columns"), F.array()), lambda c: F.size(F.coalesce(c["data_tests"], F.array()))), F.lit(0), lambda a, b: a + b)
-    inferred = infer_layer(F.col("name"), F.col("path"), F.col("tags"), F.col("meta"))
+    inferred = infer_layer(F.col("name"), F.col("path"), F.col("tags"), F.col("meta"), layer_names, layer_paths)
     layer = F.when(F.col("resource_type").isin(FIXED_LAYER_KINDS), FIXED_LAYER).otherwise(inferred)
     return nodes.select(
         _node_urn(prefix).alias("urn"), "name", F.col("resource_type").alias("capsule_type"), "unique_id", layer.alias("layer"),
@@ -90,7 +92,7 @@ def capsules(nodes: DataFrame, prefix: str = "urn:cat:dbt") -> DataFrame:
     )
 
 
-def columns(nodes: DataFrame, catalog: DataFrame | None = None, prefix: str = "urn:cat:dbt") -> DataFrame:
+def columns(nodes: DataFrame, catalog: DataFrame | None = None, prefix: str = "urn:cat:dbt", pii_patterns: Patterns = PII_NAME_PATTERNS) -> DataFrame:
     """Columns declared in nodes, merged with catalog columns by lower-case name."""
     owners = nodes.select("unique_id", _node_urn(prefix).alias("capsule_urn"))
     declared = nodes.select("unique_id", F.explode("columns").alias("column_name", "c")).select(
@@ -102,7 +104,7 @@ def columns(nodes: DataFrame, catalog: DataFrame | None = None, prefix: str = "u
         merged = declared.withColumns({"name": F.col("declared_name"), "data_type": F.lit(None).cast("string"), "position": F.lit(None).cast("int"), "stats": F.lit(None).cast("map<string,string>")})
     else:
         merged = declared.join(catalog.join(owners.select("unique_id"), "unique_id", "left_semi"), ["unique_id", "key"], "full_outer").withColumn("name", F.coalesce("declared_name", "column_name"))
-    pii = detect_pii(F.col("name"), F.col("meta"), F.col("tags"))
+    pii = detect_pii(F.col("name"), F.col("meta"), F.col("tags"), pii_patterns)
     typed = merged.join(owners, "unique_id").withColumn("_pii", pii)
     return typed.select(
         F.concat_ws(".", "capsule_urn", "name").alias("urn"), "capsule_urn", "unique_id", "name", "data_type", "position", F.col("_pii.pii_type").alias("pii_type"),

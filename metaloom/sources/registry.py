@@ -37,7 +37,9 @@ def _manifest(spark: SparkSession, config: Mapping[str, object]) -> Tables:
 
     nodes = m.read_nodes(spark, config["manifest_path"], config.get("project_name"))
     catalog = m.read_catalog(spark, config["catalog_path"]) if config.get("catalog_path") else None
-    capsules, columns = m.capsules(nodes), m.columns(nodes, catalog)
+    given = {k: config[k] for k in ("layer_names", "layer_paths") if config.get(k)}
+    capsules = m.capsules(nodes, **given)
+    columns = m.columns(nodes, catalog, **({"pii_patterns": config["pii_patterns"]} if config.get("pii_patterns") else {}))
     return {
         "nodes": nodes, "capsules": capsules, "columns": columns, "edges": m.edges(nodes), "column_edges": m.column_edges(nodes, columns),
         "domains": m.domains(capsules), "tags": m.tags(capsules, columns), "problems": m.parse_problems(spark, config["manifest_path"]),
