@@ -1,10 +1,16 @@
 """Upsert, orphan, delta and status queries over two snapshots."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metaloom import staging
 from metaloom.plans.registry import Catalog, query
 from metaloom.plans.views import NOW
 from metaloom.sinks import upsert as up
+from metaloom.sinks.buckets import BucketStore, refresh_view
+from metaloom.sources import warehouse
 
 _DELTA = """CASE WHEN o.urn IS NULL THEN 'created' WHEN n.urn IS NULL THEN 'missing' WHEN o.v IS NOT DISTINCT FROM n.v THEN 'unchanged' ELSE 'updated' END"""
 _MERGED = f"""merged AS (SELECT coalesce(n.urn, o.urn) AS urn, CASE WHEN n.urn IS NOT NULL THEN n.v ELSE o.v END AS v, coalesce(o.updated, n.updated) AS updated, {_DELTA} AS _change
@@ -133,3 +139,129 @@ def src13_incremental(c: Catalog):
     from metaloom.sources import warehouse
 
     return warehouse.tables(c.view("v_wh_tables"), since="2001-06-01 00:00:00").select("database_name", "schema_name", "table_name")
+
+
+# ------------------------------------------------- bucket stores
+
+
+def _store(c: Catalog, schema, keys, name: str, buckets: int = 16):
+    return BucketStore(c.spark, staging.new_stage(c.spark, name), schema, keys, buckets)
+
+
+@query("snk1_bucketed", f"WITH {_MERGED.replace('coalesce(o.updated, n.updated)', 'CASE WHEN n.urn IS NOT NULL THEN n.updated ELSE o.updated END')} SELECT urn, v, updated FROM merged")
+def snk1_bucketed(c: Catalog):
+    old, new = c.view("v_snapshot_old"), c.view("v_snapshot_new")
+    store = _store(c, old.schema, ["urn"], "bucketed")
+    store.merge(old, 1)
+    store.merge(new, 2)
+    return store.read()
+
+
+@query("src13_bucketed_sync", f"""
+    WITH s AS (SELECT database_name, schema_name, table_name, table_type, last_altered FROM v_wh_tables WHERE schema_name NOT IN ('INFORMATION_SCHEMA', 'ACCOUNT_USAGE'))
+    SELECT database_name, schema_name, table_name, CASE WHEN last_altered > TIMESTAMP '2001-06-01 00:00:00' THEN 'ALTERED' ELSE table_type END AS table_type, last_altered FROM s""")
+def src13_bucketed_sync(c: Catalog):
+    """A full sync, then one of the tables altered since its mark, which go into their buckets alone."""
+    keys = ["database_name", "schema_name", "table_name"]
+    columns = [*keys, "table_type", "last_altered"]
+    full = warehouse.tables(c.view("v_wh_tables")).select(*columns)
+    store = _store(c, full.schema, keys, "synced")
+    store.merge(full, 1)
+    recent = warehouse.tables(c.view("v_wh_tables"), since="2001-06-01 00:00:00").select(*columns).withColumn("table_type", F.lit("ALTERED"))
+    store.merge(recent, 2)
+    store.compact(3)
+    return store.read()
+
+
+@query("src13_sync_counts", f"""
+    WITH s AS (SELECT last_altered > TIMESTAMP '2001-06-01 00:00:00' AS recent FROM v_wh_tables WHERE schema_name NOT IN ('INFORMATION_SCHEMA', 'ACCOUNT_USAGE'))
+    SELECT 1 AS version, 'rows' AS entity, count(*) AS created, 0 AS updated FROM s UNION ALL SELECT 2, 'rows', 0, count(*) FROM s WHERE recent""")
+def src13_sync_counts(c: Catalog):
+    keys = ["database_name", "schema_name", "table_name"]
+    full = warehouse.tables(c.view("v_wh_tables")).select(*keys, "table_type")
+    store = _store(c, full.schema, keys, "counted")
+    store.merge(full, 1)
+    store.merge(warehouse.tables(c.view("v_wh_tables"), since="2001-06-01 00:00:00").select(*keys, F.lit("ALTERED").alias("table_type")), 2)
+    return store.changes().where("entity = 'rows'").select("version", "entity", "created", "updated")
+
+
+@query("snk23_refresh_view", """
+    SELECT capsule_urn, count(*) AS columns, count(*) FILTER (data_type = 'VARCHAR') AS texts, 'now' AS part FROM v_schema_new GROUP BY 1
+    UNION ALL SELECT coalesce(n.capsule_urn, o.capsule_urn), coalesce(n.columns, o.columns), coalesce(n.texts, o.texts), CASE WHEN o.capsule_urn IS NULL THEN 'created' WHEN n.capsule_urn IS NULL THEN 'missing' ELSE 'updated' END
+    FROM (SELECT capsule_urn, count(*) AS columns, count(*) FILTER (data_type = 'VARCHAR') AS texts FROM v_schema_old GROUP BY 1) o FULL OUTER JOIN (SELECT capsule_urn, count(*) AS columns, count(*) FILTER (data_type = 'VARCHAR') AS texts FROM v_schema_new GROUP BY 1) n
+      ON o.capsule_urn = n.capsule_urn WHERE o.capsule_urn IS NULL OR n.capsule_urn IS NULL OR o.columns <> n.columns OR o.texts <> n.texts""")
+def snk23_refresh_view(c: Catalog):
+    summary = lambda v: c.view(v).groupBy("capsule_urn").agg(F.count("*").alias("columns"), F.count_if(F.col("data_type") == "VARCHAR").alias("texts"))
+    folder = staging.new_stage(c.spark, "refreshed")
+    refresh_view(c.spark, summary("v_schema_old"), folder, ["capsule_urn"], 16)
+    now, changed = refresh_view(c.spark, summary("v_schema_new"), folder, ["capsule_urn"], 16)
+    return now.withColumn("part", F.lit("now")).unionByName(changed.withColumnRenamed("_change", "part"))
+
+
+# ------------------------------------------- orchestration tables and rules
+
+
+def _runs(c: Catalog):
+    """Orchestration tables as stored and as the next run brings them."""
+    flows = c.view("v_workflows").select("urn", "name", "schedule_interval")
+    tasks = c.view("v_tasks")
+    edges = c.view("v_task_order").select(F.col("source_task_urn").alias("source_urn"), F.col("target_task_urn").alias("target_urn"), F.lit("depends_on").alias("edge_type"))
+    data = c.view("v_task_edges").select("task_urn", "capsule_urn", "edge_type", "criticality_score")
+    mapped = c.view("v_task_column_edges").select("task_urn", F.col("column_urn").alias("source_column_urn"), F.concat("column_urn", F.lit("_out")).alias("target_column_urn"), F.col("edge_type").alias("transformation_type"))
+    stored = {
+        "workflows": flows.where("schedule_interval <> '@once'"), "tasks": tasks.where("name <> 'task_1'"), "task_edges": edges.where("source_urn not like '%.2'"),
+        "data_edges": data, "column_mappings": mapped.where("transformation_type = 'reads'"),
+    }
+    hourly = F.when(F.col("schedule_interval") == "@hourly", "@daily").otherwise(F.col("schedule_interval"))
+    incoming = {
+        "workflows": flows.withColumn("schedule_interval", hourly), "tasks": tasks, "task_edges": edges.where("source_urn not like '%.3'"),
+        "data_edges": data.where("edge_type <> 'validates'").withColumn("criticality_score", F.lit(0.5)), "column_mappings": mapped.withColumn("transformation_type", F.upper("transformation_type")),
+    }
+    return stored, incoming
+
+
+_RUN_SQL = """m AS (SELECT task_urn, column_urn, edge_type FROM v_task_column_edges), o AS (SELECT source_task_urn AS s, target_task_urn AS t FROM v_task_order),
+    changed AS (
+      SELECT 'workflows' AS entity, urn AS key, CASE schedule_interval WHEN '@once' THEN 'created' WHEN '@hourly' THEN 'updated' ELSE 'unchanged' END AS _change FROM v_workflows
+      UNION ALL SELECT 'tasks', task_urn, CASE WHEN name = 'task_1' THEN 'created' ELSE 'unchanged' END FROM v_tasks
+      UNION ALL SELECT 'task_edges', concat(s, '>', t), CASE WHEN s LIKE '%.2' THEN 'created' WHEN s LIKE '%.3' THEN 'missing' ELSE 'unchanged' END FROM o
+      UNION ALL SELECT 'data_edges', concat(task_urn, '>', capsule_urn, '>', edge_type), CASE WHEN edge_type = 'validates' THEN 'missing' WHEN criticality_score = 0.5 THEN 'unchanged' ELSE 'updated' END FROM v_task_edges
+      UNION ALL SELECT 'column_mappings', concat(task_urn, '>', column_urn), CASE WHEN max(edge_type) = min(edge_type) AND min(edge_type) = 'writes' THEN 'created' ELSE 'updated' END FROM m GROUP BY task_urn, column_urn)"""
+
+
+@query("snk3_upsert_orchestration", f"WITH {_RUN_SQL} SELECT entity, key, _change FROM changed")
+def snk3_upsert_orchestration(c: Catalog):
+    stored, incoming = _runs(c)
+    key = {"workflows": F.col("urn"), "tasks": F.col("task_urn"), "task_edges": F.concat_ws(">", "source_urn", "target_urn"), "data_edges": F.concat_ws(">", "task_urn", "capsule_urn", "edge_type"), "column_mappings": F.concat_ws(">", "task_urn", "source_column_urn")}
+    parts = [df.select(F.lit(name).alias("entity"), key[name].alias("key"), "_change") for name, df in up.upsert_orchestration(stored, incoming).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("snk3_delta_counts", f"WITH {_RUN_SQL} SELECT entity, {_COUNTS.replace('deleted', 'missing')} FROM changed GROUP BY 1")
+def snk3_delta_counts(c: Catalog):
+    stored, incoming = _runs(c)
+    marked = {name: df.withColumn("_change", F.when(F.col("_change") == up.MISSING, up.DELETED).otherwise(F.col("_change"))) for name, df in up.upsert_orchestration(stored, incoming).items()}
+    return up.delta_counts(marked).where("entity <> 'total'").withColumnRenamed("deleted", "missing")
+
+
+_RULES_OLD = "SELECT rule_id, category, enabled FROM v_rules WHERE rule_set = 'set_a' OR scope = 'column'"
+_RULES_NEW = "SELECT rule_id, CASE WHEN category = 'pii' THEN 'privacy' ELSE category END AS category, enabled FROM v_rules WHERE scope <> 'column'"
+_RULE_CHANGES = f"""r AS (SELECT coalesce(n.rule_id, o.rule_id) AS rule_id, coalesce(n.category, o.category) AS category, coalesce(n.enabled, o.enabled) AS enabled,
+      CASE WHEN o.rule_id IS NULL THEN 'created' WHEN n.rule_id IS NULL THEN 'missing' WHEN o.category = n.category AND o.enabled = n.enabled THEN 'unchanged' ELSE 'updated' END AS _change
+      FROM ({_RULES_OLD}) o FULL OUTER JOIN ({_RULES_NEW}) n ON o.rule_id = n.rule_id)"""
+
+
+def _rule_sync(c: Catalog):
+    rules = c.view("v_rules").select("rule_id", "category", "enabled", "rule_set", "scope")
+    declared = rules.where("scope <> 'column'").withColumn("category", F.when(F.col("category") == "pii", "privacy").otherwise(F.col("category")))
+    return up.upsert_rules(rules.where("rule_set = 'set_a' OR scope = 'column'").select("rule_id", "category", "enabled"), declared.select("rule_id", "category", "enabled"))
+
+
+@query("snk5_upsert_rules", f"WITH {_RULE_CHANGES} SELECT * FROM r")
+def snk5_upsert_rules(c: Catalog):
+    return _rule_sync(c)[0]
+
+
+@query("snk5_sync_counts", f"WITH {_RULE_CHANGES} SELECT count(*) FILTER (_change = 'created') AS created, count(*) FILTER (_change = 'updated') AS updated, count(*) FILTER (_change <> 'missing') AS total FROM r")
+def snk5_sync_counts(c: Catalog):
+    return _rule_sync(c)[1]

@@ -150,10 +150,30 @@ def write_snapshot(df: DataFrame, folder: str, version: str) -> str:
     return path
 
 
-def refresh_table(df: DataFrame, table: str) -> None:
-    """Recompute a materialised summary as a catalog table."""
-    df.write.mode("overwrite").saveAsTable(table)
-
-
 def read_snapshot(spark: SparkSession, folder: str, version: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/version={version}")
+
+
+def upsert_rules(stored: DataFrame, declared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rules by ``rule_id``: (rows with ``_change``, (created, updated, total) of the sync). Rules that are no longer declared stay as they are."""
+    changed = upsert(stored, one_per_key(declared, ["rule_id"]), ["rule_id"])
+    counts = changed.agg(
+        F.count_if(F.col("_change") == CREATED).alias("created"), F.count_if(F.col("_change") == UPDATED).alias("updated"), F.count_if(F.col("_change") != MISSING).alias("total")
+    )
+    return changed, counts
+
+
+def upsert_orchestration(stored: Mapping[str, DataFrame], incoming: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Workflows, tasks, their edges and column mappings of a run merged into those stored, each by its key; ``_change`` marks what happened."""
+    out = {}
+    for name, keys in ORCHESTRATION_KEYS.items():
+        if name in incoming:
+            out[name] = upsert(stored[name], one_per_key(incoming[name].select(*stored[name].columns), keys), keys)
+    return out
+
+
+#: what identifies a row of each orchestration table
+ORCHESTRATION_KEYS = {
+    "workflows": ["urn"], "tasks": ["task_urn"], "task_edges": ["source_urn", "target_urn", "edge_type"], "data_edges": ["task_urn", "capsule_urn", "edge_type"],
+    "column_mappings": ["task_urn", "source_column_urn", "target_column_urn"],
+}

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from metaloom.sinks.buckets import BucketStore
 from metaloom.sinks.upsert import delta_counts, one_per_key, snapshot, upsert
 
 
@@ -42,3 +43,17 @@ def sync_files(spark: SparkSession, path: str, schema: StructType, keys: Sequenc
         stream.writeStream.foreachBatch(lambda batch, batch_id: merge_batch(batch, batch_id, folder, keys))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def merge_buckets(batch: DataFrame, batch_id: int, folder: str, keys: Sequence[str], buckets: int = 64) -> None:
+    """Merge one micro-batch into a bucket store, as version ``batch_id + 1``; a batch run again replaces its own version."""
+    BucketStore(batch.sparkSession, folder, batch.schema, keys, buckets).merge(batch, batch_id + 1)
+
+
+def sync_buckets(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], folder: str, checkpoint: str, buckets: int = 64):
+    """``sync_files`` into a bucket store: a micro-batch rewrites only the buckets of its keys."""
+    stream = spark.readStream.schema(schema).parquet(path)
+    return (
+        stream.writeStream.foreachBatch(lambda batch, batch_id: merge_buckets(batch, batch_id, folder, keys, buckets))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
