@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from metaloom import staging
 from metaloom.plans import views as catalog_views
 
 
@@ -30,18 +31,23 @@ class Catalog:
         return self._once(name, lambda: self.spark.read.parquet(f"{self.root}/{name}.parquet"))
 
     def view(self, name: str) -> DataFrame:
-        """A catalog view; Catalyst inlines it, so pruning and pushdown reach the scans."""
-        return self._once(name, lambda: self._define(name))
+        """A catalog view. Views that group or join the large tables are written once for an application, all others are inlined."""
+        if name not in catalog_views.WRITTEN:
+            return self._once(name, lambda: self._define(name))
+        return self._once(f"{name}#{staging.generation()}", lambda: staging.stage(self._define(name), staging.new_stage(self.spark, name)))
 
     def _define(self, name: str) -> DataFrame:
-        sql = catalog_views.with_clause(name)
-        bases = []
-        for table in catalog_views.BASE_TABLES:
-            if re.search(rf"\b(FROM|JOIN)\s+{table}\b", sql):
-                relation = f"ml_{zlib.crc32(self.root.encode()):08x}_{table}"
-                self.table(table).createOrReplaceTempView(relation)
-                bases.append(f"{table} AS (SELECT * FROM {relation})")
-        return self.spark.sql(f"WITH {', '.join(bases)},\n{sql}\nSELECT * FROM {name}")
+        bodies = catalog_views.bodies(name)
+        written = [n for n, body in bodies.items() if body is None]
+        text = "\n".join(b for b in bodies.values() if b)
+        given = {t: self.table(t) for t in catalog_views.BASE_TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", text)} | {n: self.view(n) for n in written}
+        parts = []
+        for relation, df in given.items():
+            view = f"ml_{zlib.crc32(self.root.encode()):08x}_{relation}"
+            df.createOrReplaceTempView(view)
+            parts.append(f"{relation} AS (SELECT * FROM {view})")
+        parts += [f"{n} AS ({body})" for n, body in bodies.items() if body]
+        return self.spark.sql(f"WITH {', '.join(parts)}\nSELECT * FROM {name}")
 
 
 _plans: dict[tuple[str, str, str], DataFrame] = {}

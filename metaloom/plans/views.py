@@ -326,6 +326,12 @@ VIEWS: dict[str, str] = {
     "v_doc_edges": "SELECT source AS source_urn, concat('doc:', CAST(doc_id AS STRING)) AS target_urn, 'flows_to' AS edge_type FROM documents",
 }
 
+#: views that read the large tables with a join, a grouping or a distinct, and that several queries or several parts of one query use
+WRITTEN = frozenset({
+    "v_columns", "v_profile_runs", "v_profiles", "v_versions", "v_capsule_edges", "v_tasks", "v_task_edges", "v_order_task_edges", "v_task_dependencies",
+    "v_task_column_edges", "v_column_edges", "v_edges", "v_edges_cyclic", "v_users", "v_products", "v_wh_tables", "v_wh_columns",
+})
+
 _REFERENCE = re.compile(r"\bv_[a-z_]+\b")
 
 
@@ -350,6 +356,24 @@ def with_clause(*names: str) -> str:
     return ",\n".join(f"{name} AS ({VIEWS[name]})" for name in required_views(*names))
 
 
+def bodies(name: str) -> dict[str, str | None]:
+    """What ``name`` is made of, in an order that defines before use: the SQL of inlined views, None for written ones."""
+    out: dict[str, str | None] = {}
+
+    def visit(view: str) -> None:
+        if view in out:
+            return
+        if view != name and view in WRITTEN:
+            out[view] = None
+            return
+        for dependency in sorted(set(_REFERENCE.findall(VIEWS[view])) - {view}):
+            visit(dependency)
+        out[view] = VIEWS[view]
+
+    visit(name)
+    return out
+
+
 def views_in(sql: str) -> list[str]:
     """The views a statement mentions, in first-use order."""
     return [n for n in dict.fromkeys(_REFERENCE.findall(sql)) if n in VIEWS]

@@ -58,8 +58,18 @@ def stage_counted(df: DataFrame, path: str, counted: Column | None = None) -> tu
     return stage(observed, path), seen.get["n"]
 
 
+_dropped = 0
+
+
+def generation() -> int:
+    """How often staged tables were dropped: who keeps one for later asks whether it is still of this generation."""
+    return _dropped
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete every table this application staged; call once results are written."""
+    global _dropped
+    _dropped += 1
     root = staging_root(spark)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
