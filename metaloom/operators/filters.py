@@ -63,8 +63,8 @@ def columns(capsule_urn: str | None = None, pii: bool = False, pii_type: str | N
 
 
 def policies(today: str | None = None, active: bool = False, review_due: bool = False, sensitivity_level: str | None = None,
-             framework: str | None = None) -> Column:
-    conditions = [equal(sensitivity_level=sensitivity_level)]
+             framework: str | None = None, capsule_urn: str | None = None, column_urn: str | None = None) -> Column:
+    conditions = [equal(sensitivity_level=sensitivity_level, capsule_urn=capsule_urn, column_urn=column_urn)]
     if active:
         conditions += [F.col("policy_status") == "active"]
     if review_due:
@@ -157,8 +157,9 @@ def versions(capsule_urn: str | None = None, version_number: int | None = None,
                  git_commit_sha=git_commit_sha, breaking_change=breaking)
 
 
-def code(capsule_urn: str | None = None, language: str | None = None, git_commit_sha: str | None = None, file_path: str | None = None) -> Column:
-    return equal(capsule_urn=capsule_urn, language=language, git_commit_sha=git_commit_sha, file_path=file_path)
+def code(capsule_urn: str | None = None, language: str | None = None, git_commit_sha: str | None = None, file_path: str | None = None,
+         edge_id: str | None = None) -> Column:
+    return equal(capsule_urn=capsule_urn, language=language, git_commit_sha=git_commit_sha, file_path=file_path, edge_id=edge_id)
 
 
 def terms(domain: str | None = None, category: str | None = None, approval_status: str | None = None) -> Column:
@@ -232,6 +233,13 @@ def linked(df: DataFrame, key: str, bridge: DataFrame, bridge_key: str, conditio
     return df.join(rows.select(F.col(bridge_key).alias(key)), key, "left_semi")
 
 
+def exists_link(pairs: DataFrame, bridge: DataFrame) -> DataFrame:
+    """``pairs`` with ``linked``: whether the bridge has a row with the same values in all of the pair's columns."""
+    names = pairs.columns
+    known = bridge.select(*names).distinct().withColumn("linked", F.lit(True))
+    return pairs.join(known, names, "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+
+
 def page(df: DataFrame, order: Sequence[Column | str], offset: int, limit: int) -> DataFrame:
     """One page of a listing; the last sort key must be unique."""
     return df.orderBy(*order).offset(offset).limit(limit)

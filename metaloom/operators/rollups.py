@@ -202,6 +202,12 @@ def footprint(task_edges: DataFrame) -> DataFrame:
     return task_edges.groupBy("pipeline_urn", "edge_type").agg(F.count_distinct("capsule_urn").alias("capsules"), F.count("*").alias("edges"))
 
 
+def footprint_rows(task_edges: DataFrame, capsules: DataFrame) -> DataFrame:
+    """The tables that a workflow touches as rows: pipeline_urn, edge_type, capsule_urn, name, layer, and by how many of its tasks."""
+    touched = task_edges.groupBy("pipeline_urn", "edge_type", "capsule_urn").agg(F.count_distinct("task_urn").alias("tasks"))
+    return touched.join(capsules.select(F.col("urn").alias("capsule_urn"), "name", "layer"), "capsule_urn", "left")
+
+
 def resolve_columns(names: DataFrame, capsules: DataFrame, columns: DataFrame) -> DataFrame:
     """Resolve ``table.column`` and ``schema.table.column`` names to column URNs.
 

@@ -6,6 +6,7 @@ from metaloom.plans import (  # noqa: F401
     filter_queries,
     impact_queries,
     lineage_queries,
+    model_queries,
     pii_queries,
     quality_queries,
     rollup_queries,

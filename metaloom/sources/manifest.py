@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metaloom.functions.classify import LAYER_NAME_PATTERNS, LAYER_PATH_PATTERNS, PII_NAME_PATTERNS, detect_pii, infer_domain, infer_layer, present, semantic_type, table_urn
+from metaloom.operators.substring_index import containing
 from metaloom.sources.accounting import Accounted, account
 
 Patterns = Mapping[str, Sequence[str]]
@@ -201,8 +202,7 @@ def tags(node_capsules: DataFrame, node_columns: DataFrame) -> DataFrame:
 def select_models(selectors: DataFrame, nodes: DataFrame) -> DataFrame:
     """(selector, unique_id): models picked by ``tag:x``, ``package.model``, ``path*`` or a name.
 
-    Three keyed joins; only path patterns need a containment test, and those
-    selectors are few.
+    Keyed joins; paths, which stand anywhere in an id, go through the substring index.
     """
     models = nodes.filter(F.col("resource_type") == "model")
     s = F.col("selector")
@@ -213,6 +213,7 @@ def select_models(selectors: DataFrame, nodes: DataFrame) -> DataFrame:
         models.select("unique_id", "package_name", "name"), ["package_name", "name"])
     by_name = selectors.filter(~tag & ~package & ~path).select("selector", s.alias("name")).join(models.select("unique_id", "name"), "name")
     patterns = selectors.filter(~tag & ~package & path).select("selector", F.lower(F.regexp_replace(s, r"[/*]+$", "")).alias("_p"))
-    by_path = models.select("unique_id").join(patterns, F.lower("unique_id").contains(F.col("_p")))
+    texts = models.select(F.col("unique_id").alias("id"), F.lower("unique_id").alias("text"))
+    by_path = containing(texts, patterns.select(F.col("_p").alias("pattern"))).select(F.col("pattern").alias("_p"), F.col("id").alias("unique_id")).join(patterns, "_p")
     parts = [x.select("selector", "unique_id") for x in (by_tag, by_package, by_name, by_path)]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).distinct()
