@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from metaloom.operators.rollups import top_k_per_key
 
-#: parts of a rank's bracket that are counted before values are put in order
-CELLS = 4096
+#: rows of a range of values that are put in order
+MOST_INSIDE = 50_000
 
 
 def _stacked(df: DataFrame, per_column: Mapping[str, Sequence[Column]]) -> DataFrame:
@@ -83,55 +83,47 @@ def approximate_quantiles(df: DataFrame, columns: Sequence[str], probabilities:
     return spread.select("column", F.array(*[F.lit(p) for p in probabilities])[F.col("i")].alias("probability"), "value")
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = (0.25, 0.5, 0.75), accuracy: int = 10_000) -> DataFrame:
-    """(column, probability, value), linearly interpolated, without gathering a column.
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = (0.25, 0.5, 0.75), accuracy: int = 2_000, most: int = MOST_INSIDE) -> DataFrame:
+    """(column, probability, value), linearly interpolated, without gathering or sorting a column.
 
-    A sketch brackets every wanted rank; the second pass counts the values below
-    each bracket and keeps only the distinct values inside it, about
-    ``4 / accuracy`` of the rows, so the final ordering is small.  The driver
-    reads one row of bounds per call.
+    Rank selection by ranges: a sketch gives each wanted rank a range of values, counts say how many rows lie below the range
+    and in it, and a range of more than ``most`` rows is sketched and cut again, 500 times smaller each time. Only the
+    distinct values of the last ranges are put in order. The driver reads one row of bounds and counts per pass.
     """
+    values = {c: F.col(c).cast("double") for c in columns}
     margin = 2.0 / accuracy
-    edges = [[max(0.0, p - margin), min(1.0, p + margin)] for p in probabilities]
-    sketch = df.agg(
-        *[F.percentile_approx(F.col(c).cast("double"), [q for e in edges for q in e], accuracy).alias(f"q{i}") for i, c in enumerate(columns)],
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-    ).first()
-    cells, wanted = [], []
-    for i, c in enumerate(columns):
-        n = sketch[f"n{i}"]
-        if n == 0:
-            continue
-        value = F.col(c).cast("double")
-        for j, p in enumerate(probabilities):
-            low, high = sketch[f"q{i}"][2 * j], sketch[f"q{i}"][2 * j + 1]
-            position = p * (n - 1)
-            wanted.append((c, float(p), int(position), position - int(position)))
-            below = F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("probability"), F.lit(-1).cast("long").alias("cell"), F.lit(None).cast("double").alias("value"))
-            width = (high - low) / CELLS if n > 2 * accuracy and high > low else None
-            cell = F.floor((value - F.lit(float(low))) / F.lit(width)) if width else F.lit(0)
-            inside = F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("probability"), cell.cast("long").alias("cell"), value.alias("value"))
-            if n <= 2 * accuracy:  # too few rows for the sketch's error to leave a margin: keep all
-                cells.append(F.when(value.isNotNull(), inside))
-            else:
-                cells.append(F.when(value < low, below).when(value <= high, inside))
+    n = dict(zip(columns, df.agg(*[F.count(values[c]) for c in columns]).first(), strict=True))
+    # each rank: its range [low, high], the rows below it and the rows in it; no bounds at first
+    ranges = [{"column": c, "probability": float(p), "rank": p * (n[c] - 1), "low": None, "high": None, "below": 0, "inside": n[c]} for c in columns if n[c] for p in probabilities]
+
+    def within(r: dict) -> Column:
+        v = values[r["column"]]
+        return v.isNotNull() if r["low"] is None else (v >= F.lit(r["low"])) & (v <= F.lit(r["high"]))
+
+    while wide := [r for r in ranges if r["inside"] > most and (r["low"] is None or r["low"] < r["high"])]:
+        edges = [[max(0.0, (int(r["rank"]) - r["below"]) / r["inside"] - margin), min(1.0, (int(r["rank"]) + 2 - r["below"]) / r["inside"] + margin)] for r in wide]
+        cuts = df.agg(*[F.percentile_approx(F.when(within(r), values[r["column"]]), e, accuracy) for r, e in zip(wide, edges, strict=True)]).first()
+        smaller = [r | {"low": low, "high": high} for r, (low, high) in zip(wide, cuts, strict=True)]
+        counts = df.agg(*[x for r in smaller for x in (F.count_if(values[r["column"]] < F.lit(r["low"])), F.count_if(within(r)))]).first()
+        for i, (r, new) in enumerate(zip(wide, smaller, strict=True)):
+            below, inside = counts[2 * i], counts[2 * i + 1]
+            holds = below <= int(r["rank"]) and min(int(r["rank"]) + 2, n[r["column"]]) <= below + inside
+            if holds and inside < r["inside"]:
+                r |= {"low": new["low"], "high": new["high"], "below": below, "inside": inside}
+            else:  # many equal values: the range gets no smaller, and its distinct values are few
+                r["inside"] = most
     spark = df.sparkSession
-    ranks = spark.range(1).select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(p).alias("probability"), F.lit(k).cast("long").alias("k"), F.lit(f).alias("fraction")) for c, p, k, f in wanted
-    ])).alias("w")).select("w.*")
-    counts = df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*").groupBy("column", "probability", "cell", "value").agg(F.count("*").alias("n"))
-    # counts of the bracket's cells tell which cells hold the ranks; only their values are put in order
-    keys = ["column", "probability", "cell"]
-    sums = counts.groupBy(*keys).agg(F.sum("n").alias("m")).withColumn("end", F.sum("m").over(W.partitionBy("column", "probability").orderBy("cell")))
-    held = sums.join(F.broadcast(ranks), ["column", "probability"]).where((F.col("end") > F.col("k")) & (F.col("end") - F.col("m") <= F.col("k") + 1))
-    running = W.partitionBy(*keys).orderBy(F.col("value").asc_nulls_first())
-    ordered = counts.join(held, keys).withColumn("upto", F.col("end") - F.col("m") + F.sum("n").over(running))
-    at = lambda k: F.min(F.when(F.col("value").isNotNull() & (F.col("upto") > k), F.col("value")))
-    found = ordered.groupBy("column", "probability").agg(
-        at(F.col("k")).alias("low"), at(F.col("k") + 1).alias("high"), F.first("fraction").alias("fraction")
-    )
-    between = F.col("low") + F.col("fraction") * (F.coalesce("high", "low") - F.col("low"))
-    return found.select("column", "probability", between.alias("value"))
+    kind = "column string, probability double, value double"
+    if not ranges:
+        return spark.createDataFrame([], kind)
+    held = [F.when(within(r), F.struct(F.lit(i).alias("range"), values[r["column"]].alias("value"))) for i, r in enumerate(ranges)]
+    counted = df.select(F.explode(F.array_compact(F.array(*held))).alias("h")).groupBy("h.range", "h.value").agg(F.count(F.lit(1)).alias("m"))
+    wanted = spark.createDataFrame([(i, r["column"], r["probability"], int(r["rank"]), r["rank"] - int(r["rank"]), r["below"]) for i, r in enumerate(ranges)], "range int, column string, probability double, k long, fraction double, below long")
+    upto = F.col("below") + F.sum("m").over(W.partitionBy("range").orderBy("value"))
+    ordered = counted.join(F.broadcast(wanted), "range").withColumn("upto", upto)
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("value")))
+    found = ordered.groupBy("column", "probability", "fraction").agg(at(F.col("k")).alias("low"), at(F.col("k") + 1).alias("high"))
+    return found.select("column", "probability", (F.col("low") + F.col("fraction") * (F.coalesce("high", "low") - F.col("low"))).alias("value"))
 
 
 def length_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -51,3 +51,17 @@ def test_exists_link(spark):
     pairs = spark.createDataFrame([("a", 1), ("a", 2), (None, 1)], "x string, y int")
     bridge = spark.createDataFrame([("a", 1, "z"), ("a", 1, "w")], "x string, y int, v string")
     assert sorted(((r.x or "", r.y, r.linked) for r in filters.exists_link(pairs, bridge).collect())) == [("", 1, False), ("a", 1, True), ("a", 2, False)]
+
+
+def test_quantiles_by_ranges(spark):
+    import numpy as np
+
+    from metaloom.operators import profile
+
+    r = random.Random(5)
+    columns = {"a": [r.gauss(0, 1) for _ in range(3000)], "b": [float(r.choice([1, 1, 1, 2, 900])) for _ in range(3000)], "c": [float(k) for k in range(2999)] + [None], "d": [None] * 3000, "e": [None] * 2998 + [7.0, 9.0]}
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{k} double" for k in columns)).repartition(5)
+    for most in (10**6, 100, 7):
+        got = {(x.column, x.probability): x.value for x in profile.exact_quantiles(df, list(columns), (0.0, 0.25, 0.5, 0.999, 1.0), accuracy=100, most=most).collect()}
+        want = {(k, p): float(np.quantile([x for x in v if x is not None], p)) for k, v in columns.items() if k != "d" for p in (0.0, 0.25, 0.5, 0.999, 1.0)}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
