@@ -36,8 +36,7 @@ def frequency(scheduled: DataFrame, group: str) -> DataFrame:
     """Runs per day and week, and a label of the total frequency."""
     total = F.sum("runs_per_day")
     label = (
-        F.when(total >= 24, "High frequency (hourly or more)").when(total >= 7, "Moderate frequency (multiple times daily)")
-        .when(total >= 1, "Daily execution").when(total >= 0.5, "Every 2-3 days").otherwise("Weekly or less frequent")
+        F.when(total >= 24, "hourly").when(total >= 7, "several_a_day").when(total >= 1, "daily").when(total >= 0.5, "some_days").otherwise("rare")
     )
     return scheduled.groupBy(group).agg(total.alias("executions_per_day"), (total * 7).alias("executions_per_week"), label.alias("schedule_pattern"))
 
@@ -66,16 +65,14 @@ def quiet_windows(scheduled: DataFrame, group: str) -> DataFrame:
     idle = every.join(hour_counts(scheduled, group), [group, "hour"], "left_anti")
     length = F.col("end_hour") - F.col("start_hour")
     gaps = _runs(idle, group).filter(length >= MIN_GAP_HOURS)
-    reason = F.concat(F.lit("No scheduled executions for "), length.cast("string"), F.lit(" hours"))
-    return _first(gaps, group).select(group, "start_hour", "end_hour", "rank", F.lit(0.1).alias("impact_score"), reason.alias("reason"))
+    return _first(gaps, group).select(group, "start_hour", "end_hour", "rank", F.lit(0.1).alias("impact_score"), F.lit("idle").alias("reason"), length.cast("long").alias("idle_hours"))
 
 
 def busy_windows(scheduled: DataFrame, group: str) -> DataFrame:
     """The first three runs of hours at 80 % of the greatest count or more."""
     counts = hour_counts(scheduled, group).withColumn("most", F.max("tasks").over(W.partitionBy(group)))
     runs = _runs(counts.filter(F.col("tasks") >= F.col("most") * PEAK_SHARE), group, F.max("most").alias("most"))
-    reason = F.concat(F.lit("Peak execution period ("), F.col("most").cast("string"), F.lit(" tasks)"))
-    return _first(runs, group).select(group, "start_hour", "end_hour", "rank", F.lit(0.9).alias("impact_score"), reason.alias("reason"))
+    return _first(runs, group).select(group, "start_hour", "end_hour", "rank", F.lit(0.9).alias("impact_score"), F.lit("busy").alias("reason"), F.col("most").alias("most_tasks"))
 
 
 def best_window(scheduled: DataFrame, group: str) -> DataFrame:

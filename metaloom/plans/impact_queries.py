@@ -87,8 +87,8 @@ def src23_best_statement(c: Catalog):
 
 @query("tmp1_frequency", f"""
     WITH {_SCHED} SELECT source_system, sum(runs) AS executions_per_day, sum(runs) * 7 AS executions_per_week,
-      CASE WHEN sum(runs) >= 24 THEN 'High frequency (hourly or more)' WHEN sum(runs) >= 7 THEN 'Moderate frequency (multiple times daily)' WHEN sum(runs) >= 1 THEN 'Daily execution'
-        WHEN sum(runs) >= 0.5 THEN 'Every 2-3 days' ELSE 'Weekly or less frequent' END AS schedule_pattern FROM sched GROUP BY 1""")
+      CASE WHEN sum(runs) >= 24 THEN 'hourly' WHEN sum(runs) >= 7 THEN 'several_a_day' WHEN sum(runs) >= 1 THEN 'daily'
+        WHEN sum(runs) >= 0.5 THEN 'some_days' ELSE 'rare' END AS schedule_pattern FROM sched GROUP BY 1""")
 def tmp1_frequency(c: Catalog):
     return timeline.frequency(scheduled(c), GROUP)
 
@@ -102,7 +102,7 @@ def tmp1_peak_hours(c: Catalog):
 _ONE = f"s0 AS (SELECT *, {CRON} AS cron FROM v_workflows), sched AS (SELECT urn, {HOURS} AS hours FROM s0 WHERE cron IS NOT NULL), hc AS (SELECT urn, hour, count(*) AS tasks FROM (SELECT urn, unnest(hours) AS hour FROM sched) GROUP BY 1, 2)"
 _QUIET = f"""{_ONE}, idle AS (SELECT urn, h AS hour FROM sched, range(0, 24) t(h) WHERE NOT list_contains(hours, h)),
     runs AS (SELECT urn, min(hour) AS start_hour, max(hour) + 1 AS end_hour FROM (SELECT *, hour - row_number() OVER (PARTITION BY urn ORDER BY hour) AS g FROM idle) GROUP BY urn, g),
-    quiet AS (SELECT urn, start_hour, end_hour, row_number() OVER (PARTITION BY urn ORDER BY start_hour) AS rank, CAST(0.1 AS DOUBLE) AS impact_score, concat('No scheduled executions for ', end_hour - start_hour, ' hours') AS reason
+    quiet AS (SELECT urn, start_hour, end_hour, row_number() OVER (PARTITION BY urn ORDER BY start_hour) AS rank, CAST(0.1 AS DOUBLE) AS impact_score, 'idle' AS reason, end_hour - start_hour AS idle_hours
       FROM runs WHERE end_hour - start_hour >= 4)"""
 
 
@@ -119,7 +119,7 @@ def tmp7_best_window(c: Catalog):
 @query("tmp3_busy_windows", f"""
     WITH {_SCHED}, top AS (SELECT *, max(tasks) OVER (PARTITION BY source_system) AS m FROM hc), hot AS (SELECT * FROM top WHERE tasks >= m * 0.8),
     runs AS (SELECT source_system, min(hour) AS start_hour, max(hour) + 1 AS end_hour, max(m) AS m FROM (SELECT *, hour - row_number() OVER (PARTITION BY source_system ORDER BY hour) AS g FROM hot) GROUP BY source_system, g)
-    SELECT source_system, start_hour, end_hour, rank, CAST(0.9 AS DOUBLE) AS impact_score, concat('Peak execution period (', m, ' tasks)') AS reason
+    SELECT source_system, start_hour, end_hour, rank, CAST(0.9 AS DOUBLE) AS impact_score, 'busy' AS reason, m AS most_tasks
     FROM (SELECT *, row_number() OVER (PARTITION BY source_system ORDER BY start_hour) AS rank FROM runs) WHERE rank <= 3""")
 def tmp3_busy_windows(c: Catalog):
     return timeline.busy_windows(scheduled(c), GROUP)

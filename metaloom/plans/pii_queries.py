@@ -154,7 +154,7 @@ def pii1_inventory_totals(c: Catalog):
 
 
 _EXPOSED = f"""{TAGGED_SQL}, exposed AS (SELECT urn AS column_urn, name AS column_name, pii_type, capsule_urn, capsule_name, layer, {SEVERITY_SQL} AS severity,
-      concat('Unmasked ', pii_type, ' PII in ', layer, ' layer') AS reason, concat('Apply masking, hashing, or encryption to ', name) AS recommendation
+      'unmasked_where_consumed' AS reason, 'protect_column' AS recommendation
       FROM found WHERE layer IN ('gold', 'marts', 'mart', 'consumption', 'reporting', 'analytics') AND NOT {MASKED_SQL})"""
 
 
