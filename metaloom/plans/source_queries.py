@@ -7,7 +7,7 @@ from metaloom.functions import classify
 from metaloom.operators import pii
 from metaloom.plans.export_queries import _NODE_SQL, nodes
 from metaloom.plans.registry import Catalog, query
-from metaloom.sources import accounting, manifest, orchestrator
+from metaloom.sources import accounting, datasource, manifest, orchestrator
 
 # ------------------------------------------------------------ manifests
 
@@ -151,19 +151,32 @@ def _exported(c: Catalog) -> str:
     layout(1).groupBy(group).agg(F.concat_ws(" ", F.collect_list(_json(df))).alias("value")).select("value").write.text(f"{path}/layout=line")
     layout(2).select(F.concat(F.lit("  "), _json(df, pretty=True)).alias("value")).write.text(f"{path}/layout=indented")
     layout(3).groupBy(group).agg(F.concat(F.lit("[\n"), F.concat_ws(",\n", F.collect_list(_json(df))), F.lit("\n]")).alias("value")).select("value").write.text(f"{path}/layout=arrays")
-    return f"{path}/*/"
+    return path
 
 
-@query("src14_workflows", """
+_WORKFLOWS = """
     SELECT concat('urn:cat:pipeline:airflow:main:dag_', s_suppkey) AS urn, s_name AS description, CASE s_suppkey % 3 WHEN 0 THEN '0 4 * * *' WHEN 1 THEN '@daily' END AS schedule_interval, s_acctbal > 7000 AS is_paused, s_acctbal > 1000 AS is_active,
-      concat('nation ', s_nationkey) AS domain, concat('x}', s_suppkey) AS second_tag, coalesce(n, 0) AS tasks FROM supplier LEFT JOIN (SELECT l_suppkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey""")
-def src14_workflows(c: Catalog):
-    dags, problems = orchestrator.parse_dags(c.spark, _exported(c))
+      concat('nation ', s_nationkey) AS domain, concat('x}', s_suppkey) AS second_tag, coalesce(n, 0) AS tasks FROM supplier LEFT JOIN (SELECT l_suppkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey"""
+
+
+def _workflows(dags, problems):
     counts = dags.select(F.concat(F.lit("urn:cat:pipeline:airflow:main:"), "dag_id").alias("urn"), F.coalesce(F.size("tasks"), F.lit(0)).cast("long").alias("tasks"))
     rows = orchestrator.workflows(dags, "main").select("urn", "description", "schedule_interval", "is_paused", "is_active", "domain", F.get("tags", F.lit(1)).alias("second_tag")).join(counts, "urn")
     return rows.unionByName(problems.select(F.concat_ws(" ", "location", "message").alias("urn")), allowMissingColumns=True)
 
 
+@query("src14_workflows", _WORKFLOWS)
+def src14_workflows(c: Catalog):
+    return _workflows(*orchestrator.parse_dags(c.spark, f"{_exported(c)}/*/"))
+
+
+@query("udf3_record_source", _WORKFLOWS)
+def udf3_record_source(c: Catalog):
+    """The same exports through the registered data source."""
+    records = c.spark.read.format(datasource.register(c.spark)).option("path", _exported(c)).load()
+    return _workflows(*orchestrator.dags_of_records(records))
+
+
 @query("src15_dag_filter", """
     SELECT concat('dag_', s_suppkey) AS dag_id, variant FROM supplier, (SELECT 'state' AS variant UNION ALL SELECT 'pattern' UNION ALL SELECT 'deny' UNION ALL SELECT 'allow' UNION ALL SELECT 'all')
     WHERE CASE variant WHEN 'state' THEN s_acctbal > 1000 AND s_acctbal <= 7000 WHEN 'pattern' THEN s_acctbal > 1000 AND s_acctbal <= 7000 AND CAST(s_suppkey AS STRING) LIKE '1%'

@@ -38,15 +38,22 @@ def _read_json(spark: SparkSession, path: str, schema: str, layout: str) -> tupl
     return parse_records(read_records(spark, path), schema)
 
 
-def parse_dags(spark: SparkSession, path: str, layout: str = "any") -> tuple[DataFrame, DataFrame]:
-    """(workflow exports, problems). An object that lists workflows under ``dags`` stands for each of them."""
-    rows, problems = _read_json(spark, path, f"{DAG}, dags ARRAY<STRUCT<{DAG}>>", layout)
+def dags_of_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(workflow exports, problems) of records from any reader, streams included. An object that lists workflows under ``dags`` stands for each of them."""
+    rows, problems = parse_records(records, f"{DAG}, dags ARRAY<STRUCT<{DAG}>>")
     names = [x for x in rows.columns if x not in ("location", "position", "dags")]
     itself = F.array(F.struct(*names))
     each = rows.select("location", "position", F.explode(F.when(F.col("dags").isNotNull(), F.col("dags")).otherwise(itself)).alias("d"))
     return each.select("location", "position", "d.*"), problems
 
 
+def parse_dags(spark: SparkSession, path: str, layout: str = "any") -> tuple[DataFrame, DataFrame]:
+    """(workflow exports, problems) of the files at ``path``, see ``dags_of_records``."""
+    if layout not in LAYOUTS:
+        raise ValueError(f"layout {layout} is not one of {', '.join(LAYOUTS)}")
+    return dags_of_records(read_records(spark, path))
+
+
 def read_dags(spark: SparkSession, path: str, layout: str = "any") -> DataFrame:
     """One row per workflow export, however the files are laid out; see ``parse_dags`` for what can't be read."""
     return parse_dags(spark, path, layout)[0].drop("location", "position")

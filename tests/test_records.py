@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from metaloom.sources import accounting, json_records, manifest, orchestrator, registry
+from metaloom.sources import accounting, datasource, json_records, manifest, orchestrator, registry
 
 ODD = ['{"', "}", "\\", '\\"', 'a"}{"b', "{{", "é😀", "\n", "", "\\\\"]
 
@@ -87,3 +87,41 @@ def test_rows_in_are_rows_out_and_problems(spark):
     assert ("edges", "warning", "model.s.gone -> model.s.a", "unknown node") in rows and ("column_edges", "warning", "model.s.b.no -> model.s.a.X", "unknown source column") in rows
     assert ("annotations", "error", "t produces bad", "malformed URN") in rows and ("task_edges", "warning", "d.t.v", "unknown downstream task") in rows
     assert {r.severity: r.n for r in accounting.severities(lists).collect()} == {"error": 5, "warning": 7}
+
+
+def test_data_source_gives_what_the_source_gives(spark, tmp_path):
+    name = datasource.register(spark)
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for k, (layout, write) in enumerate(LAYOUTS.items()):
+        (tmp_path / "in" / ("deep" if k % 2 else ".") / f"{k}.json").write_text(write([{**x, "dag_id": f"{layout} {x['dag_id']}"} for x in things(k, 20)]), encoding="utf-8")
+    (tmp_path / "in" / "_SUCCESS").write_text("{")
+    (tmp_path / "in" / "bad.json").write_text('{"dag_id": 1} oops')
+    records = spark.read.format(name).option("path", str(tmp_path / "in")).option("step", "100").load()
+    got, problems = orchestrator.dags_of_records(records)
+    assert {r.dag_id for r in got.collect()} == {f"{layout} d{i}" for layout in LAYOUTS for i in range(20)} | {"1"}
+    assert [r.message for r in problems.collect()] == ["text outside of objects"]
+    loaded = registry.load(spark, "orchestrator", {"path": str(tmp_path / "in" / "deep")})["workflows"]
+    deep = spark.read.format(name).option("path", f"file://{tmp_path}/in/deep").load()
+    dags = orchestrator.dags_of_records(deep)[0]
+    shown = orchestrator.workflows(dags.filter(orchestrator.included(dags["dag_id"], dags["is_paused"], dags["is_active"])))
+    assert sorted(map(str, shown.collect())) == sorted(map(str, loaded.collect())) and loaded.count() == 60
+
+
+def test_data_source_streams_from_its_mark(spark, tmp_path):
+    import os
+
+    name = datasource.register(spark)
+    (tmp_path / "in").mkdir()
+
+    def sync():
+        stream = spark.readStream.format(name).option("path", str(tmp_path / "in")).option("since", "1000000000").load()
+        orchestrator.dags_of_records(stream)[0].select("dag_id").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.dag_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    for k, at in enumerate((1, 2, 3)):  # the first is as old as the mark
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"dag_id": f"a{k}"}))
+        os.utime(tmp_path / "in" / f"{k}.json", ns=(at * 10**9, at * 10**9))
+    assert sync() == ["a1", "a2"]
+    (tmp_path / "in" / "3.json").write_text('{"dag_id": "b"}{"dag_id": "c"}')
+    assert sync() == ["a1", "a2", "b", "c"]
+    assert sync() == ["a1", "a2", "b", "c"]
