@@ -3,7 +3,7 @@
 1. *Terms.* Words and word beginnings of labelled rows are counted by class; those that lean most towards toxic rows
    become the lexicon. No list of words is built in.
 2. *Voters.* Every term of the lexicon votes toxic where it occurs. Pattern voters look at the share and the number of
-   different terms, at shouting and at repetition, and vote toxic, clean or not at all. The given label is a voter too.
+   different terms and at shouting, and vote toxic, clean or not at all. The given label is a voter too.
 3. *Label model.* Latent label y, P(vote | y) of each voter, by expectation maximisation. Voters that agree more than y
    explains (correlated given y) share their evidence: a voter's log-likelihood counts 1 / (1 + sum of its positive
    conditional correlations).
@@ -88,7 +88,7 @@ class Model:
 
 def features(column: pa.Array, terms: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(i, j, counts, patterns) of rows i to j: counts of each term, and
-    words, share of upper-case letters, of non-letters, of repeated neighbouring words, number of hits, of different terms."""
+    words, share of upper-case letters, of non-letters, a column of zeros, number of hits, of different terms."""
     raw, at = buffers(column)
     data, offsets = buffers(lowered(column))
     maybe = np.zeros(1 << 16, bool)
