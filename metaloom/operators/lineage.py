@@ -157,10 +157,10 @@ def trace_columns(
 
 
 def lineage_counts(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int = 5) -> DataFrame:
-    """Both directions of every seed with real depth: (seed, direction, nodes, max_depth)."""
-    both = downstream(edges, seeds, max_depth).withColumn("direction", F.lit("downstream")).unionByName(
-        upstream(edges, seeds, max_depth).withColumn("direction", F.lit("upstream"))
-    )
+    """Both directions of every seed with real depth: (seed, direction, nodes, max_depth). For all nodes one walk is enough: the other is its transpose."""
+    down = downstream(edges, seeds, max_depth)
+    up = upstream(edges, seeds, max_depth) if seeds is not None else down.select(F.col("node").alias("seed"), F.col("seed").alias("node"), "depth")
+    both = down.withColumn("direction", F.lit("downstream")).unionByName(up.withColumn("direction", F.lit("upstream")))
     return both.groupBy("seed", "direction").agg(F.count("*").alias("nodes"), F.max("depth").alias("max_depth"))
 
 

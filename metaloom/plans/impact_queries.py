@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from metaloom import staging
 from metaloom.functions import classify, schedule
 from metaloom.operators import impact, rollups, slo, timeline
 from metaloom.plans.registry import Catalog, query
@@ -256,7 +257,8 @@ def imp6_column_retype(c: Catalog):
     LEFT JOIN (SELECT capsule_urn, count(*) AS n FROM v_task_edges WHERE edge_type = 'consumes' GROUP BY 1) k ON k.capsule_urn = e.capsule_urn
     WHERE edge_type IN ({kinds}) GROUP BY 1""" for s, r, kinds in (("modify", "medium", "'produces', 'transforms'"), ("disable", "high", "'produces'"), ("delete", "critical", "'produces', 'transforms'"))))
 def imp7_workflow_impact(c: Catalog):
-    parts = [impact.workflow_impact(c.view("v_task_edges"), c.view("v_capsule_edges"), s) for s in impact.SCENARIOS]
+    below = staging.stage(impact.tables_below(c.view("v_task_edges"), c.view("v_capsule_edges")), staging.new_stage(c.spark, "below"))
+    parts = [impact.workflow_impact(c.view("v_task_edges"), below, s) for s in impact.SCENARIOS]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
