@@ -53,7 +53,12 @@ def snk18_cypher(c: Catalog):
     return export.cypher(*graph(c)).filter("part = 2").select("value")
 
 
-@query("snk18_cypher_nodes")
+@query("snk18_cypher_nodes", """
+    WITH n AS (SELECT 'DOMAIN' AS label, concat('urn:cat:domain:', n) AS urn, n AS name, NULL AS layer, NULL AS domain, '' AS more FROM (SELECT DISTINCT domain AS n FROM v_capsules)
+      UNION ALL SELECT upper(replace(replace(capsule_type, '-', '_'), ' ', '_')), urn, name, layer, domain, '' FROM v_capsules UNION ALL SELECT 'COLUMN', urn, name, NULL, NULL, concat(', data_type: "', data_type, '"') FROM v_columns
+      UNION ALL SELECT 'TAG', concat('urn:cat:tag:', tag), tag, NULL, NULL, concat(', category: "', category, '", sensitivity_level: "', sensitivity_level, '"') FROM v_tags
+      UNION ALL SELECT 'DATA_PRODUCT', concat('urn:cat:product:', product), product, NULL, domain, concat(', status: "', status, '"') FROM v_data_products)
+    SELECT concat('CREATE (:', label, ' {urn: "', urn, '", name: "', name, '"', CASE WHEN coalesce(layer, '') <> '' THEN concat(', layer: "', layer, '"') ELSE '' END, CASE WHEN coalesce(domain, '') <> '' THEN concat(', domain: "', domain, '"') ELSE '' END, more, '});') AS value FROM n""")
 def snk18_cypher_nodes(c: Catalog):
     return export.cypher(*graph(c)).filter("part = 1").select("value")
 
@@ -89,6 +94,27 @@ def snk15_capsule_report(c: Catalog):
     return export.capsule_report(c.view("v_capsules"), tagged(c), layer="silver")
 
 
+@query("g12_derived_edges", f"WITH {_EDGES} SELECT * FROM edges WHERE edge_type <> 'CONTAINS' UNION ALL SELECT source_column_urn, target_column_urn, 'DERIVED_FROM' FROM v_column_edges")
+def g12_derived_edges(c: Catalog):
+    """The graph with column lineage instead of the tables' columns."""
+    tables = {
+        "domains": c.view("v_capsules").select("domain").distinct(), "capsules": c.view("v_capsules"), "edges": c.view("v_capsule_edges"), "column_edges": c.view("v_column_edges"),
+        "tags": c.view("v_tags"), "capsule_tags": c.view("v_capsule_tags"), "products": c.view("v_data_products"), "product_members": c.view("v_product_members"),
+    }
+    return property_graph.build(tables)[1]
+
+
+@query("set2_first_nodes", f"""
+    WITH {_NODES}, every AS (SELECT urn, name, node_type, layer, domain FROM nodes UNION ALL SELECT urn, concat(name, '_a'), 'aaa', NULL, NULL FROM nodes WHERE layer = 'gold' UNION ALL SELECT urn, concat(name, '_z'), 'zzz', 'x', 'y' FROM nodes WHERE node_type = 'tag')
+    SELECT urn, first.node_type AS node_type, first.name AS name FROM (SELECT urn, min(struct_pack(node_type := node_type, name := name)) AS first FROM every GROUP BY urn)""")
+def set2_first_nodes(c: Catalog):
+    """Nodes that several tables bring, one of each."""
+    nodes, _ = graph(c)
+    again = nodes.where("layer = 'gold'").withColumns({"name": F.concat("name", F.lit("_a")), "node_type": F.lit("aaa"), "layer": F.lit(None).cast("string"), "domain": F.lit(None).cast("string")})
+    other = nodes.where("node_type = 'tag'").withColumns({"name": F.concat("name", F.lit("_z")), "node_type": F.lit("zzz"), "layer": F.lit("x"), "domain": F.lit("y")})
+    return property_graph.first_of_each(nodes.unionByName(again).unionByName(other)).select("urn", "node_type", "name")
+
+
 # ---------------------------------------------------------------- sources
 
 _WH = "SELECT * FROM v_wh_tables WHERE schema_name <> 'INFORMATION_SCHEMA'"
