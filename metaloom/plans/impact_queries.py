@@ -286,9 +286,9 @@ _SIMULATED = f"""{_PRIORS}, {_AFFECTED}, {_OVERALL}, sim AS (SELECT o.*, p.* FRO
 def simulated(c: Catalog):
     found = affected(c)
     overall = impact.overall_risk(found, hit_tasks(c, found))
-    asked = [r["change_type"] for r in priors(c).select("change_type").distinct().collect()]  # the change types there are, a handful
-    rows = overall.withColumn("change_type", F.explode(F.array(*(F.lit(t) for t in sorted(asked)))))
-    return rows.join(priors(c).select("change_type", "matches", "success_rate"), "change_type")
+    known = sorted(priors(c).select("change_type", "matches", "success_rate").collect())  # a row for each change type, a handful
+    each = [F.struct(F.lit(t).alias("change_type"), F.lit(n).alias("matches"), F.lit(rate).alias("success_rate")) for t, n, rate in known]
+    return overall.withColumn("_prior", F.explode(F.array(*each))).select(*overall.columns, "_prior.*")
 
 
 @query("imp9_confidence", f"""
