@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metaloom.functions import classify, schedule
-from metaloom.operators import conformance, masking, profile, quality
+from metaloom.operators import conformance, masking, pii, profile, quality
 
 
 def values(spark, rows, schema, column):
@@ -32,6 +32,14 @@ def test_layers_and_domains(spark):
     assert values(spark, rows, schema, classify.infer_domain(F.col("path"), F.col("tags"), F.col("meta"))) == ["sales", None, "ops", "hr", "a"]
 
 
+def test_exposures_say_what_is_exposed_and_what_to_do(spark):
+    rows = [("u1", "user_email", "email", "Gold"), ("u2", "home_phone", "phone", "marts"), ("u3", "email_hash", "email", "gold"), ("u4", "user_email", "email", "silver"), ("u5", "ssn", "ssn", None)]
+    found = spark.createDataFrame([(*r, "c", "t") for r in rows], "urn string, name string, pii_type string, layer string, capsule_urn string, capsule_name string")
+    assert {(r.column_urn, r.reason, r.recommendation) for r in pii.exposures(found).collect()} == {
+        ("u1", "Unmasked email PII in gold layer", "Apply masking, hashing, or encryption to user_email"), ("u2", "Unmasked phone PII in marts layer", "Apply masking, hashing, or encryption to home_phone"),
+    }
+
+
 def test_semantic_types(spark):
     names = ["customer_id", "id", "order_sk_key", "natural_key", "created_at", "total", "x_pk", "note"]
     got = values(spark, [(n, None) for n in names], "name string, pii string", classify.semantic_type(F.col("name"), F.col("pii")))
