@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from metaloom.llm.text import buffers, lowered, runs, shingles, slices, tidy
+from metaloom.llm.text import buffers, lowered, portions, runs, shingles, slices, tidy
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -315,6 +315,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
+def without_leaks(frames: Iterator[pa.RecordBatch], index: Index, threshold: float = THRESHOLD) -> Iterator[pa.RecordBatch]:
+    """The rows, all columns, into which no item of the index leaks."""
+    for frame in portions(frames):
+        data, offsets = buffers(_spaced(frame.column("text")))
+        keep = np.ones(frame.num_rows, bool)
+        for i, j in slices(offsets):
+            for got in search(index, data, offsets[i : j + 1], threshold):
+                keep[i + got[0]] = False
+        yield frame.filter(pa.array(keep))
+
+
 def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, into which no item leaks."""
     spark, out = docs.sparkSession, docs
@@ -322,13 +333,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
         sent = spark.sparkContext.broadcast(index)
 
         def batches(frames: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for frame in frames:
-                data, offsets = buffers(_spaced(frame.column(frame.schema.get_field_index("text"))))
-                keep = np.ones(frame.num_rows, bool)
-                for i, j in slices(offsets):
-                    for got in search(sent.value, data, offsets[i : j + 1], threshold):
-                        keep[i + got[0]] = False
-                yield frame.filter(pa.array(keep))
+            return without_leaks(frames, sent.value, threshold)
 
         out = out.mapInArrow(tidy(batches), docs.schema)
     return out

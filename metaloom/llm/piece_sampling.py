@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaloom.llm.pieces import SPACE, Vocabulary, points, vocabulary
-from metaloom.llm.text import list_array, mix, tidy
+from metaloom.llm.text import list_array, mix, portions, tidy
 
 ALPHA = 1.0
 ZIPF_SHIFT = 2.7
@@ -369,9 +369,8 @@ def encode_documents(docs: DataFrame, model: str | None = None, alpha: float = A
     """
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
 
-    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = lattice(model or public_tokenizers.path("piece_bpe_32k.model"), alpha)
-        for frame in frames:
+    def encoded(lat: Lattice, frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in portions(frames):
             texts = [x or "" for x in frame.column(1).to_pylist()]
             seeds = _seeds(frame.column(2).to_numpy(zero_copy_only=False), seed)
             i = 0
@@ -392,6 +391,13 @@ def encode_documents(docs: DataFrame, model: str | None = None, alpha: float = A
                 )
                 i = j
 
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lat = lattice(model or public_tokenizers.path("piece_bpe_32k.model"), alpha)
+        try:
+            yield from encoded(lat, frames)
+        finally:
+            lat.segments.clear()  # a worker that waits holds no lattices; the next task soon has its own
+
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("_key"))
     return rows.mapInArrow(tidy(batches), f"doc_id {kind}, n_pieces long, ids array<int>, text_crc32 long, decoded_crc32 long, lossless boolean")
 

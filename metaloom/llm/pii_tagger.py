@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaloom import staging
-from metaloom.llm.text import tidy
+from metaloom.llm.text import portions, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: rows with base spans to train on, and rows without
@@ -447,7 +447,7 @@ def redact(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Tagger(sent.value)
-        for frame in frames:
+        for frame in portions(frames):
             at = frame.schema.get_field_index("text")
             given = frame.column(at).to_pylist()
             texts = [x or "" for x in given]

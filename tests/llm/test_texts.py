@@ -7,9 +7,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from metaloom.llm import decontamination, language_id, pii_tagger, sharding, toxicity, url_filter
+from metaloom.llm import decontamination, language_id, pii_tagger, sharding, text, toxicity, url_filter
 
 WORDS = "the of and to in is that it was for on are as with his they at be this from have or by one had not but what all were".split()
 RARE = [a + b + c for a in ("ba", "ke", "li", "mo") for b in ("ra", "se", "ti", "lo") for c in ("n", "m", "x", "k")]
@@ -145,6 +146,45 @@ def test_leaks_of_short_items_and_of_scripts_without_spaces(spark):
     assert {x.doc_id for x in decontamination.drop_leaks(docs_table, items_table).collect()} == set(range(len(docs))) - {k for k, _ in wanted}
 
 
+def test_leaks_are_dropped_by_portions_of_a_batch(monkeypatch):
+    """Texts are copied by portions, not whole batches at once, whatever lies where they are cut."""
+    r = random.Random(12)
+    items = [prose(r, 30) for _ in range(4)]
+    hashed = [text.runs(*text.buffers(pa.array([x])), decontamination._inside)[2] for x in items]
+    rows = [
+        {"key": k, "item_id": k, "seg": 0, "terms": np.unique(h).view(np.int64), "impacts": [1.0] * len(np.unique(h)), "exact": []}
+        | {name: text.shingles(np.zeros(len(w), np.int64), w, 3)[1].view(np.int64) for name, w in (("question", h[:20]), ("answer", h[20:]))}
+        for k, h in enumerate(hashed)
+    ]
+    index = decontamination.build(rows)
+    texts = [None if k % 50 == 7 else "" if k % 50 == 9 else "qué " * 500 + (r.choice(items) if k % 10 == 0 else "") for k in range(3000)]
+    frame = pa.record_batch([pa.array(range(3000)), pa.array(texts)], ["doc_id", "text"])
+    given, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    monkeypatch.setattr(text, "PORTION_BYTES", 1 << 18)
+    monkeypatch.setattr(text, "PORTION_ROWS", 100)
+    pa.set_memory_pool(pool)
+    try:
+        got = []
+        for part in decontamination.without_leaks(iter([frame.slice(3)]), index):
+            got += part.column("doc_id").to_pylist()
+            assert part.num_rows <= 100
+            del part
+    finally:
+        pa.set_memory_pool(given)
+    assert got == [k for k in range(3, 3000) if k % 10]
+    assert pool.max_memory() < frame.nbytes / 2
+
+
+def test_portions_are_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr(text, "PORTION_BYTES", 10)
+    monkeypatch.setattr(text, "PORTION_ROWS", 3)
+    texts = ["a" * 25, None, "", "é" * 5, "b", "", "", "", "", None, "c" * 9, "dd"]
+    frames = [pa.record_batch([pa.array(texts)], ["text"]), pa.record_batch([pa.array([], pa.string())], ["text"]), pa.record_batch([pa.array(texts)], ["text"]).slice(4, 3)]
+    got = list(text.portions(iter(frames)))
+    assert [x for p in got for x in p.column("text").to_pylist()] == texts + texts[4:7]
+    assert all(0 < p.num_rows <= 3 and (p.num_rows == 1 or sum(len((x or "").encode()) for x in p.column("text").to_pylist()) <= 10) for p in got)
+
+
 def test_pruned_search_finds_all_scores_above_the_threshold(spark):
     r = random.Random(9)
     items = spark.createDataFrame([(k, prose(r, 30)) for k in range(60)], "item_id long, text string")
