@@ -86,3 +86,17 @@ def test_origins_equal_step_by_step_walks(spark, limit):
     seeds = spark.createDataFrame([(x,) for x in sorted({x for e in edges for x in e})] + [("gone",), (None,), ("p3",)], "seed string")
     for hot in (1_000_000, 2) if limit == 5 else (1_000_000,):
         assert {x.seed: (x.origin, x.hops) for x in lineage.origins(df, seeds, limit, hot_rows=hot).collect()} == want
+
+
+def test_seeds_of_a_node_share_rows(spark):
+    """40 seeds that reach 30 nodes are 1,200 pairs in the result and few rows on the way."""
+    import glob
+
+    from metaloom.staging import staging_root
+
+    edges = [(f"s{s}", f"n{n}") for s in range(40) for n in range(30)]
+    stages = set(glob.glob(f"{staging_root(spark)}/traverse-*"))
+    got = {(r.seed, r.node): r.depth for r in lineage.downstream(spark.createDataFrame(edges, "source_urn string, target_urn string"), None, 2).collect()}
+    assert got == brute(edges, 2)
+    (made,) = set(glob.glob(f"{staging_root(spark)}/traverse-*")) - stages
+    assert spark.read.parquet(f"{made}/levels/depth=1").count() <= 120
