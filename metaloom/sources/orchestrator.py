@@ -9,10 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from metaloom.functions.classify import domain_of_tags, duration_seconds, operation_type, present, task_type, transformation_of
+from metaloom.operators.joins import HOT_ROWS, fan_out, salt_rows
 from metaloom.operators.rollups import resolve_columns
 from metaloom.sources.accounting import Accounted, account
 from metaloom.sources.json_records import parse_records, read_records
 from metaloom.sources.manifest import select_models
+from metaloom.staging import new_stage, stage
 
 DELAY = "STRUCT<__var: STRUCT<days: INT, seconds: INT>>"
 TASK = f"""STRUCT<task_id: STRING, operator_name: STRING, class_ref: STRUCT<class_name: STRING>, retries: INT, retry_delay: {DELAY}, execution_timeout: {DELAY},
@@ -173,24 +175,35 @@ def malformed_urns(annotated: DataFrame, prefix: str = "urn:cat") -> DataFrame:
     return annotated.filter(~well_formed(F.col("capsule_urn"), prefix)).select("task_urn", "capsule_urn")
 
 
-def model_edges(task_rows: DataFrame, nodes: DataFrame, node_urns: DataFrame) -> DataFrame:
+def model_edges(task_rows: DataFrame, nodes: DataFrame, node_urns: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(task_urn, capsule_urn, edge_type) of tasks that run models.
 
     The selector is the ``select`` or ``models`` parameter, else the task id
     without its prefix.  Selected models are produced, the models they depend
-    on are consumed.  node_urns (unique_id, urn).
+    on are consumed.  node_urns (unique_id, urn).  Tasks of a choice of selectors with
+    more than ``hot_rows`` edges in all are split.
     """
     rest = F.col("name")
     for part in TASK_ID_PREFIXES:
         rest = F.replace(rest, F.lit(part), F.lit(""))
     chosen = F.coalesce(F.try_element_at("params", F.lit("select")), F.try_element_at("params", F.lit("models")), rest)
     runs = task_rows.filter(F.lower("operator").contains("dbt")).select("task_urn", chosen.alias("selector"))
-    picked = runs.join(select_models(runs.select("selector").distinct(), nodes), "selector").select("task_urn", "unique_id").distinct()
-    produced = picked.join(node_urns, "unique_id").select("task_urn", F.col("urn").alias("capsule_urn"), F.lit("produces").alias("edge_type"))
+    path = new_stage(nodes.sparkSession, "model-edges")
+    # tasks with the same selectors have the same models: those are worked out once for a choice, and met by its tasks last
+    choices = runs.where("selector IS NOT NULL").groupBy("task_urn").agg(F.array_sort(F.collect_set("selector")).alias("choice"))
+    choices = stage(choices, f"{path}/choices")
+    listed = choices.select("choice").distinct().select("choice", F.explode("choice").alias("selector"))
+    picked = listed.join(select_models(listed.select("selector").distinct(), nodes), "selector").select("choice", "unique_id").distinct()
+    picked = stage(picked, f"{path}/picked")
     models = nodes.filter(F.col("resource_type") == "model").select("unique_id", F.explode("depends_on").alias("dep")).filter(F.col("dep").startswith("model."))
-    needed = picked.join(models, "unique_id").select("task_urn", F.col("dep").alias("unique_id")).distinct()
-    consumed = needed.join(node_urns, "unique_id").select("task_urn", F.col("urn").alias("capsule_urn"), F.lit("consumes").alias("edge_type"))
-    return produced.unionByName(consumed)
+    needed = picked.join(models, "unique_id").select("choice", F.col("dep").alias("unique_id")).distinct()
+    both = picked.withColumn("edge_type", F.lit("produces")).unionByName(needed.withColumn("edge_type", F.lit("consumes")))
+    found = stage(both.join(node_urns, "unique_id").select("choice", F.col("urn").alias("capsule_urn"), "edge_type"), f"{path}/found")
+    sizes = choices.groupBy("choice").agg(F.count(F.lit(1)).alias("t")).join(found.groupBy("choice").agg(F.count(F.lit(1)).alias("m")), "choice")
+    parts = F.least(F.ceil(F.col("t") * F.col("m") / hot_rows), F.col("t")).cast("int")
+    hot = stage(sizes.where(F.col("t") * F.col("m") > hot_rows).select(F.col("choice").alias("_hot_key"), parts.alias("_parts")), f"{path}/hot")
+    met = salt_rows(choices, "choice", hot, "task_urn").join(fan_out(found, "choice", hot), ["choice", "_salt"])
+    return met.select("task_urn", "capsule_urn", "edge_type")
 
 
 def first_source_wins(annotated: DataFrame, from_models: DataFrame, from_sql: DataFrame) -> DataFrame:
