@@ -16,3 +16,22 @@ def test_model_edges_of_tasks_that_share_selectors(spark):
     for hot in (1_000_000, 5):
         edges = orchestrator.model_edges(tasks, nodes, urns, hot_rows=hot)
         assert sorted((r.task_urn or "", r.capsule_urn, r.edge_type) for r in edges.collect()) == sorted(want)
+
+
+def test_compare_stages_tokens_of_its_pairs_only(spark):
+    """100 tables, one pair; a pair given once comes once, whatever tokens both sides have."""
+    import glob
+
+    from metaloom.operators import similarity as sim
+    from metaloom.staging import staging_root
+
+    fields = "urn string, name string, description string, capsule_type string, layer string, domain string, tags array<string>"
+    capsules = spark.createDataFrame([(f"t{k}", f"dim_t{k}", None, "model", "gold", "d", []) for k in range(100)], fields)
+    columns = spark.createDataFrame([(f"t{k}", f"c{j}", "INT") for k in range(100) for j in range(k % 2, 4)], "capsule_urn string, name string, data_type string")
+    edges = spark.createDataFrame([("s", f"t{k}", "flows_to") for k in range(100)], "source_urn string, target_urn string, edge_type string")
+    before = set(glob.glob(f"{staging_root(spark)}/similar-*"))
+    (row,) = sim.compare(capsules, columns, edges, spark.createDataFrame([("t0", "t1")], "a string, b string")).collect()
+    assert (row.a, row.b, row.schema_score, row.lineage_score) == ("t0", "t1", 0.75, 1.0)
+    (made,) = set(glob.glob(f"{staging_root(spark)}/similar-*")) - before
+    assert spark.read.parquet(f"{made}/schema").count() == 7
+    assert spark.read.parquet(f"{made}/upstream").count() == 2
