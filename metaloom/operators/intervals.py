@@ -45,7 +45,8 @@ def as_of(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str,
     if not where:
         return points.join(intervals.limit(0), list(keys))
     looked = points.where(F.col(at).isNotNull()).withColumn("_p", F.explode(F.array(*where))).select(*points.columns, "_p._level", "_p._bin")
-    met = looked.join(placed, [*keys, "_level", "_bin"])
+    # Spark takes a side for as small as it was before its rows were repeated for levels or bins, and would broadcast it
+    met = looked.hint("merge").join(placed, [*keys, "_level", "_bin"])
     inside = (F.col(start).isNull() | (F.col(start) <= F.col(at))) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
     rest = [c for c in intervals.columns if c not in keys]
     return met.where(inside).select(*points.columns, *rest)

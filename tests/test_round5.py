@@ -35,3 +35,16 @@ def test_compare_stages_tokens_of_its_pairs_only(spark):
     (made,) = set(glob.glob(f"{staging_root(spark)}/similar-*")) - before
     assert spark.read.parquet(f"{made}/schema").count() == 7
     assert spark.read.parquet(f"{made}/upstream").count() == 2
+
+
+def test_points_in_intervals_are_not_broadcast(spark, tmp_path):
+    """A small table of points is many rows once it looks into every level."""
+    from metaloom.operators import intervals
+
+    spark.range(50).selectExpr("id AS key", "timestamp_ntz'2001-01-02' AS at").write.parquet(f"{tmp_path}/points")
+    points = spark.read.parquet(f"{tmp_path}/points")
+    spans = spark.range(200).selectExpr("id % 50 AS key", "id AS s", "timestamp_ntz'2001-01-01' AS valid_from", "timestamp_ntz'2001-01-01' + make_dt_interval(CAST(id % 20 AS INT)) AS valid_to")
+    found = intervals.as_of(points, spans, ["key"], "at")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert found.count() == sum(k % 20 > 1 for k in range(200))
